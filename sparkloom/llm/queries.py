@@ -5,21 +5,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, chat_format, language_id, packing, quality_rules, sharding, url_filters
+
+N_SHARDS = 40
+#: The rules of op10.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+INJECTION = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no model may learn from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), N_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~F.coalesce(held_out(), F.lit(True))))
+    return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(spark))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(chat_format.gather_turns(rows.unionByName(added)))
+    read = made.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("read"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    turns = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer(spark)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "divergence", "kept")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    judged = url_filters.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_packing": op4_packing,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {}
