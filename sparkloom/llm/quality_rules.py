@@ -114,21 +114,31 @@ def references(docs: DataFrame) -> dict[str, dict[str, dict[str, float]]]:
     return out
 
 
-def _distance(histogram: Column, share: dict[str, float]) -> Column:
-    """Jensen-Shannon distance of an array of (bin, n) to a reference; 1 where either is empty."""
-    if not share:
-        return F.lit(1.0)
-    reference = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    total = _sum(F.transform(histogram, lambda x: x["n"])).cast("double")
+def _part(p: Column, q: Column) -> Column:
+    """A bin's part of the divergence of p from q, beyond q / 2 for each bin of q."""
+    term = lambda a: F.when(a > 0, a * F.log2(2 * a / (p + q))).otherwise(0.0)
+    return (term(p) + term(q) - q) / 2
 
-    def part(x: Column) -> Column:
-        q = F.coalesce(F.element_at(reference, x["bin"]), F.lit(0.0))
-        p = x["n"] / total
-        term = lambda a: F.when(a > 0, a * F.log2(2 * a / (p + q))).otherwise(0.0)
-        return (term(p) + term(q) - q) / 2
 
-    js = F.lit(0.5) + F.aggregate(F.filter(histogram, lambda x: x["n"] > 0), F.lit(0.0), lambda a, x: a + part(x))
-    return F.when(total > 0, F.sqrt(F.greatest(js, F.lit(0.0)))).otherwise(1.0)
+def _char_distance(share: dict[str, float]) -> Column:
+    """Jensen-Shannon distance of ``_chars`` to a reference, as plain arithmetic over its few bins."""
+    total = F.col("_length").cast("double")
+    parts = [_part(F.get("_chars", i)["n"] / total, F.lit(share.get(k, 0.0))) for i, k in enumerate(CHAR_CLASSES)]
+    return F.sqrt(F.greatest(F.lit(0.5) + sum(parts[1:], parts[0]), F.lit(0.0)))
+
+
+def _common_distances(refs: list[dict[str, float]]) -> tuple[Column, Column, list[Column]]:
+    """(number of common words, entries, distance to each reference); entries pair a word's share with its reference
+    shares, so each word is looked up once.  Without common words, or a reference, the distance is 1."""
+    words = sorted({w for r in refs for w in r})
+    shares = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.lit(r.get(w, 0.0)) for r in refs]))]) if words else None
+    total = _sum(F.transform("_common", lambda x: x["n"])).cast("double")
+    none = F.array(*[F.lit(0.0)] * len(refs))
+    looked_up = lambda w: F.coalesce(F.element_at(shares, w), none) if words else none
+    entries = F.transform("_common", lambda x: F.struct((x["n"] / F.col("_total")).alias("p"), looked_up(x["bin"]).alias("q")))
+    one = lambda i: F.lit(0.5) + F.aggregate("_entries", F.lit(0.0), lambda a, x: a + _part(x["p"], F.get(x["q"], F.lit(i))))
+    distance = lambda i, r: F.when((F.col("_total") > 0) & bool(r), F.sqrt(F.greatest(one(i), F.lit(0.0)))).otherwise(1.0)
+    return total, entries, [distance(i, r) for i, r in enumerate(refs)]
 
 
 def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -145,12 +155,14 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = _histograms(_repeats(_measured(docs))).withColumn("_lines", lines)
     n = F.size("_words").cast("long")
-    long_enough = (F.col("_length") >= GUARD_CHARS, n >= GUARD_WORDS)
-    per_language = [
-        F.when(long_enough[0] & long_enough[1], (_distance(F.col("_chars"), r["chars"]) + _distance(F.col("_common"), r["common"])) / 2).when(long_enough[0], _distance(F.col("_chars"), r["chars"]))
-        for r in refs.values()
-    ]
-    divergence = F.least(*per_language) if len(per_language) > 1 else (per_language or [F.lit(None).cast("double")])[0]
+    divergence = F.lit(None).cast("double")
+    if refs:
+        total, entries, by_words = _common_distances([r["common"] for r in refs.values()])
+        out = out.withColumn("_total", total).withColumn("_entries", entries)
+        both = [(_char_distance(r["chars"]) + w) / 2 for r, w in zip(refs.values(), by_words, strict=True)]
+        chars = [_char_distance(r["chars"]) for r in refs.values()]
+        nearest = lambda x: F.least(*x) if len(x) > 1 else x[0]
+        divergence = F.when(F.col("_length") < GUARD_CHARS, divergence).when(n >= GUARD_WORDS, nearest(both)).otherwise(nearest(chars))
     out = out.withColumns(
         {
             "n_words": n,
@@ -164,4 +176,4 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("divergence") <= max_distance, F.lit(True)))
-    return out.drop("_words", "_lines", "_chars", "_common", "_length", "_in_words", "_symbols", "_digits", "_more_bytes", "_repeats")
+    return out.drop("_words", "_lines", "_chars", "_common", "_length", "_in_words", "_symbols", "_digits", "_more_bytes", "_repeats", "_total", "_entries")
