@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shingles import SHINGLE, mix, shingle_set
@@ -335,3 +336,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     some = measured.where("class is not null").select("doc_id", "n_shingles", "class").join(lookup, "class", "left")
     none = measured.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("least_id"))
     return some.select("doc_id", "n_shingles", "least_id").unionByName(none).withColumnRenamed("least_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """docs without near duplicates: of each component the document with the smallest doc_id.
+
+    Documents without words link with nothing and stay.  Rows that repeat an id and its text become one
+    row.  Rows with a null id can't be named as anyone's copy and stay, all of them.
+    """
+    judged = near_duplicates(docs, threshold, shingle).where("doc_id is not null and doc_id = component_id").select("doc_id")
+    kept = docs.where("doc_id is not null").join(judged.distinct(), "doc_id", "left_semi")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("_text")
+        kept = kept.withColumn("_text", F.xxhash64("text")).withColumn("_before", F.lag("_text").over(order))
+        kept = kept.where(~F.col("_text").eqNullSafe(F.col("_before"))).drop("_text", "_before")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

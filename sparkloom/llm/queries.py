@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, language_id, packing, quality_rules, secret_scan, sharding, url_filters
+from . import bpe, chat_format, embedding_dedup, jaccard_join, language_id, packing, quality_rules, secret_scan, sharding, url_filters
 
 N_SHARDS = 40
 #: The rules of op10.
@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
     import public_tokenizers
 
     return bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,7 +46,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(spark))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer(spark))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -67,7 +67,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer(spark)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer(spark)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "divergence", "kept")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     judged = url_filters.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
