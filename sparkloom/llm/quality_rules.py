@@ -177,3 +177,12 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("divergence") <= max_distance, F.lit(True)))
     return out.drop("_words", "_lines", "_chars", "_common", "_length", "_in_words", "_symbols", "_digits", "_more_bytes", "_repeats", "_total", "_entries")
+
+
+def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with their own columns.
+
+    The row number is there for the optimizer alone: a filter on ``kept`` would be pushed below the
+    projections it is made in, with every expression written out in place again and again."""
+    judged = judge(docs, max_distance).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
