@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard_join, language_id, packing, quality_rules, queries, secret_scan
+from sparkloom.llm.columns import set_aside
 from sparkloom.llm.workspace import Workspace
 
 
@@ -17,9 +18,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Predicts each document's language; it replaces ``lang``.  Documents without a letter, and those
     whose language no machine is sure of, go."""
     model = language_id.fit(docs.where(~F.coalesce(queries.held_out(), F.lit(True))))
-    told = language_id.identify(docs, model)
+    own, back = set_aside(docs, ["lang_pred", "score"])
+    told = language_id.identify(own, model)
     sure = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
-    return sure.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return back(sure.withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; ``n_chars`` follows."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

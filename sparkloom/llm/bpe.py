@@ -19,6 +19,9 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import batches
+from .columns import set_aside
+
 #: Fixed value: the pre-tokenizer's pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_FRAGMENTS = 200_000  # a worker forgets all fragments beyond
@@ -152,5 +155,6 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kept = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
-    return kept.withColumn("_trip", digests("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_trip.*")
+    batches.use(docs.sparkSession, batches.TEXTS)
+    kept, back = set_aside(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), ["_trip"])
+    return back(kept.withColumn("_trip", digests("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_trip.*"))

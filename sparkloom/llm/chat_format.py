@@ -16,18 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import set_aside
+
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 #: What may follow ``<`` or ``[`` in a control string.
 CONTROL_TAILS = (r"\|", "/?s>", r"/?INST\]")
 
 TURNS = "array<struct<role:string,text:string>>"
-#: Names of roles in other layouts.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Roles as the ``conversations`` layout names them.
+_FROM = "CASE lower(m.from) WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE m.from END"
 
 #: Layout -> (paths of its fields, SQL expression of its turns).
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": (("messages[].content", "messages[].role"), "transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
-    "conversations": (("conversations[].from", "conversations[].value"), "transform(conversations, m -> named_struct('role', m.from, 'text', m.value))"),
+    "conversations": (("conversations[].from", "conversations[].value"), f"transform(conversations, m -> named_struct('role', {_FROM}, 'text', m.value))"),
     "prompt_completion": (("completion", "prompt"), "array(named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', completion))"),
     "prompt_response": (("prompt", "response"), "array(named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', response))"),
     "system_prompt_response": (("prompt", "response", "system"), "array(named_struct('role', 'system', 'text', system), named_struct('role', 'user', 'text', prompt), named_struct('role', 'assistant', 'text', response))"),
@@ -58,7 +60,7 @@ def fingerprint(records: DataFrame, layouts: dict = LAYOUTS) -> Column:
 def canonical_turns(records: DataFrame, layouts: dict = LAYOUTS) -> DataFrame:
     """records with ``layout`` and ``turns``, both null where no mapping has the row's fingerprint.
 
-    Null roles and texts become empty; roles are lower-cased and named as in ``ROLES`` where listed.
+    Null roles and texts become empty.
     """
     have = {p for f in records.schema.fields for p, _ in _paths(f.dataType, f.name, F.col(f"`{f.name}`"))}
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -66,10 +68,9 @@ def canonical_turns(records: DataFrame, layouts: dict = LAYOUTS) -> DataFrame:
         if have.issuperset(paths):
             own = F.col("_print") == F.md5(F.lit("\n".join(sorted(paths))))
             layout, turns = F.when(own, name).otherwise(layout), F.when(own, F.expr(made)).otherwise(turns)
-    role = lambda t: F.lower(F.coalesce(t["role"], F.lit("")))
-    known = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), r), r)
-    out = records.withColumn("_print", fingerprint(records, layouts)).withColumns({"layout": layout, "turns": turns}).drop("_print")
-    return out.withColumn("turns", F.transform("turns", lambda t: F.struct(known(role(t)).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))))
+    own, back = set_aside(records, ["_print"])
+    out = back(own.withColumn("_print", fingerprint(own, layouts)).withColumns({"layout": layout, "turns": turns}).drop("_print"))
+    return out.withColumn("turns", F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))))
 
 
 def escape(text: Column) -> Column:

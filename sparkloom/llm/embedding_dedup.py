@@ -18,9 +18,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import batches
 from .components import connected_components
 from .jaccard_join import _Forest
 from .workspace import Workspace
@@ -29,6 +31,8 @@ THRESHOLD = 0.9
 RECALL = 0.985  # of pairs just at the threshold; closer ones are found more often
 PER_BUCKET = 4  # vectors that a bucket would hold if they were spread evenly
 BLOCK = 256
+SHIFTED = 24  # rows of a group that is compared by shifting
+KEYS = ["t", "code", "low", "high"]
 SEED = 7
 
 
@@ -46,10 +50,10 @@ def usable(v: Column) -> Column:
 
 
 def buckets(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """class_id, n, vector (doubles), codes: the names of the vector's buckets, by table."""
+    """class_id, n, vector, codes: the names of the vector's buckets, by table."""
 
-    def sign(batches):
-        for x in batches:
+    def sign(parts):
+        for x in parts:
             codes = [None] * len(x)
             sizes = x["vector"].map(len).to_numpy()
             for dim in np.unique(sizes):  # vectors of other lengths have other planes, and link with nothing here
@@ -62,52 +66,100 @@ def buckets(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> Dat
                     codes[r] = c
             yield pd.DataFrame({"class_id": x["class_id"].array, "n": x["n"].array, "vector": x["vector"], "codes": codes})
 
-    kind = classes.schema["class_id"].dataType.simpleString()
-    return classes.mapInPandas(sign, f"class_id {kind}, n long, vector array<double>, codes array<int>")
-
-
-def _compare(x: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """What one group (two blocks of a bucket, or one) adds: class_id, links, other (an edge or null)."""
-    codes, v = np.stack(x["codes"].to_list()), np.stack(x["vector"].to_list())
-    v = v / np.abs(v).max(axis=1, keepdims=True)  # keeps squares in range; cosines stay
-    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-    n, side, table = x["n"].to_numpy(), x["upper"].to_numpy(bool), int(x["t"].iloc[0])
-    near = v @ v.T >= threshold
-    np.fill_diagonal(near, False)
-    if side.any() and not side.all():
-        near &= side[:, None] != side
-    i, j = np.nonzero(np.triu(near))
-    for t in range(table):  # seen in an earlier table already
-        fresh = codes[i, t] != codes[j, t]
-        i, j = i[fresh], j[fresh]
-    links = np.zeros(len(x), np.int64)
-    np.add.at(links, i, n[j])
-    np.add.at(links, j, n[i])
-    forest = _Forest(len(x))
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        forest.join(a, b)
-    root = np.array([forest.root(k) for k in range(len(x))])
-    some = np.flatnonzero(links > 0)
-    ids = x["class_id"].to_numpy()
-    return pd.DataFrame({"class_id": ids[some], "links": links[some], "other": ids[root[some]]})
-
-
-def _groups(batches, threshold: float):
-    """Groups out of rows sorted by (t, code, low, high), each with all of its rows."""
+    kind, vector = classes.schema["class_id"].dataType.simpleString(), classes.schema["vector"].dataType.simpleString()
+    return classes.mapInPandas(sign, f"class_id {kind}, n long, vector {vector}, codes array<int>")
+
+
+def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether table t is the first in which rows i and j share a bucket."""
+    return (codes[i] == codes[j]).argmax(axis=1) == t
+
+
+def _links(v: np.ndarray, codes: np.ndarray, table: np.ndarray, run: np.ndarray, upper: np.ndarray, both: np.ndarray, threshold: float) -> tuple[list, list, list, list, list]:
+    """Linked rows within runs of rows (one run a group), as lists of index arrays: pairs (left, right)
+    of small groups, which are compared by shifting all rows at once; and for large ones, a matrix
+    product each, edges (rows, roots) that connect what is linked, and the pairs to be counted."""
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[first, len(run)])
+    small = np.flatnonzero((size <= SHIFTED)[np.searchsorted(first, np.arange(len(run)), "right") - 1])
+    left, right, at = [], [], small
+    for step in range(1, SHIFTED):
+        at = at[at + step < len(run)]
+        at = at[run[at] == run[at + step]]
+        if not len(at):
+            break
+        i, j = at, at + step
+        met = both[i] | (upper[i] != upper[j])
+        i, j = i[met], j[met]
+        near = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
+        i, j = i[near], j[near]
+        new = _first_shared(codes, i, j, table[i])
+        left.append(i[new])
+        right.append(j[new])
+    rows, roots, counts = [], [], []
+    for f, n in zip(first[size > SHIFTED].tolist(), size[size > SHIFTED].tolist(), strict=True):
+        near = v[f : f + n] @ v[f : f + n].T >= threshold
+        if not both[f]:
+            near &= upper[f : f + n, None] != upper[f : f + n]
+        i, j = np.nonzero(np.triu(near, 1))
+        new = _first_shared(codes, i + f, j + f, table[f])
+        i, j = i[new], j[new]
+        forest = _Forest(n)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            forest.join(x, y)
+        some = np.union1d(i, j)
+        rows.append(some + f)
+        roots.append(np.array([forest.root(x) for x in some.tolist()], np.int64) + f)
+        counts.append((i + f, j + f))
+    return left, right, rows, roots, counts
+
+
+def _groups(parts, threshold: float):
+    """class_id, links and other (an edge) out of rows sorted by (t, code, low, high): how many vectors
+    each row of a group links to in it, and edges that connect what is linked."""
     held = None
-    for batch in batches:
-        if held is not None and len(held):
-            batch = pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        keys = batch[["t", "code", "low", "high"]].to_numpy()
-        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        parts = [_compare(batch.iloc[a:b], threshold) for a, b in zip(first[:-1], first[1:], strict=True) if b - a > 1]
-        held = batch.iloc[first[-1] :]
-        if parts := [p for p in parts if len(p)]:
-            yield pd.concat(parts, ignore_index=True)
-    if held is not None and len(held) > 1:
-        yield _compare(held, threshold)
+    for batch in parts:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if table.num_rows:
+            table = table.combine_chunks()
+            keys = np.column_stack([table[k].to_numpy() for k in KEYS])
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            held = table.slice(begin[-1])  # may go on in the next batch
+            yield from _compared(table.slice(0, begin[-1]), keys[: begin[-1]], threshold)
+    if held is not None:
+        yield from _compared(held.combine_chunks(), np.column_stack([held[k].to_numpy() for k in KEYS]), threshold)
+
+
+def _compared(table: pa.Table, keys: np.ndarray, threshold: float):
+    if table.num_rows < 2:
+        return
+    run = np.cumsum(np.r_[False, (keys[1:] != keys[:-1]).any(axis=1)])
+    ids, n = table["class_id"].combine_chunks(), table["n"].to_numpy()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    lists = {c: table[c].combine_chunks() for c in ("vector", "codes")}
+    lists = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in lists.items()}
+    sizes = np.diff(lists["vector"].offsets.to_numpy())
+    flat = lists["vector"].flatten().to_numpy().astype(np.float64)
+    codes = lists["codes"].flatten().to_numpy().reshape(table.num_rows, -1)
+    starts = np.cumsum(sizes) - sizes
+    upper, both, t = table["upper"].to_numpy(), keys[:, 2] == keys[:, 3], keys[:, 0]
+    for dim in np.unique(sizes):  # a group's vectors have one length
+        own = np.flatnonzero(sizes == dim)
+        v = flat[starts[own][:, None] + np.arange(dim)]
+        v /= np.abs(v).max(axis=1, keepdims=True)  # keeps squares in range; cosines stay
+        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+        left, right, rows, roots, counts = _links(v, codes[own], t[own], run[own], upper[own], both[own], threshold)
+        links, seen = np.zeros(len(own), np.int64), n[own]
+        for i, j in [*zip(left, right, strict=True), *counts]:
+            np.add.at(links, i, seen[j])
+            np.add.at(links, j, seen[i])
+        some = np.flatnonzero(links)
+        a = np.concatenate([some, *left, *rows]) if len(some) else some
+        b = np.concatenate([some, *right, *roots]) if len(some) else some
+        links = np.r_[links[some], np.zeros(len(a) - len(some), np.int64)]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[a])), pa.array(links), ids.take(pa.array(own[b]))], ["class_id", "links", "other"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -120,8 +172,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     nothing and are kept.  An empty table gives no rows.
     """
     work = Workspace(vectors.sparkSession)
-    # 0.0 is added as -0.0 equals 0.0
-    rows = vectors.select("vec_id", F.when(usable(F.col("embedding")) & F.col("vec_id").isNotNull(), F.transform("embedding", lambda x: x.cast("double") + 0.0)).alias("vector"))
+    batches.use(vectors.sparkSession, batches.VECTORS)
+    part = vectors.schema["embedding"].dataType.elementType.simpleString()
+    part = part if part in ("float", "double") else "double"
+    clean = F.transform("embedding", lambda x: (x.cast(part) + F.lit(0).cast(part)).cast(part))  # -0.0 becomes 0.0
+    rows = vectors.select("vec_id", F.when(usable(F.col("embedding")) & F.col("vec_id").isNotNull(), clean).alias("vector"))
     classes = work.write(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "classes")
     bits, tables = plan(classes.count(), threshold, recall)
     signed = work.write(buckets(classes.select("class_id", "n", "vector"), bits, tables), "signed")
@@ -134,9 +189,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     met = met.select("class_id", "dim", "t", "code", F.least("own", "k").alias("low"), F.greatest("own", "k").alias("high"), (F.col("own") >= F.col("k")).alias("upper"))
     met = met.withColumn("code", F.xxhash64("dim", "code"))
     placed = met.join(signed, "class_id").select("class_id", "t", "code", "low", "high", "upper", "n", "vector", "codes")
-    keys = ["t", "code", "low", "high"]
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    found = placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda b: _groups(b, threshold), f"class_id {kind}, links long, other {kind}")
+    found = placed.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(lambda b: _groups(b, threshold), f"class_id {kind}, links long, other {kind}")
     found = work.write(found, "found")
 
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))

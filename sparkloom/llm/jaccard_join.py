@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import batches
+from .columns import set_aside
 from .components import connected_components
 from .shingles import SHINGLE, mix, shingle_set
 from .workspace import Workspace
@@ -118,8 +120,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 def _measured(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, class and bits of every row; class and bits are null for empty sets."""
 
-    def measure(batches):
-        for batch in batches:
+    def measure(parts):
+        for batch in parts:
             rows = []
             for t in batch["text"]:
                 h = shingle_set(t, shingle)
@@ -134,9 +136,9 @@ def _measured(docs: DataFrame, shingle: int) -> DataFrame:
 def _lanes(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
     """key and class; a task gives out each class once."""
 
-    def sketch(batches):
+    def sketch(parts):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in parts:
             keys, classes, held = [], [], 0
             for t in batch["text"]:
                 h = shingle_set(t, shingle)
@@ -156,12 +158,12 @@ def _lanes(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
     return docs.select("text").mapInPandas(sketch, "key long, class long")
 
 
-def bucket_pairs(batches, small: int = SMALL):
+def bucket_pairs(parts, small: int = SMALL):
     """(a, b, large) from rows sorted by (key, class): all pairs of a key with up to ``small`` classes,
     else a star from its first class, marked large.  Keeps at most ``small`` rows between batches."""
     held_key, held, hub = None, np.zeros(0, np.int64), None
     empty = np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in parts:
         key, cls = batch["key"].to_numpy(), batch["class"].to_numpy()
         if not len(key):
             continue
@@ -253,16 +255,19 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, threshold: int) -> li
 
 def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(measured rows, links, classes): links (a, b) between classes connect exactly what is linked."""
-    bands = Bands(threshold)
+    bands, spark = Bands(threshold), docs.sparkSession
+    batches.use(spark, batches.TEXTS)
     measured = work.write(_measured(docs, shingle), "measured")
     classes = work.write(measured.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
 
+    batches.use(spark, batches.BOTH)
     lanes = _lanes(docs, shingle, bands).repartition("key").sortWithinPartitions("key", "class")
     found = work.write(lanes.mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, large boolean"), "lanes")
+    batches.use(spark, batches.TEXTS)
     pairs = found.where("not large").select("a", "b").distinct()
 
-    def near(batches):
-        for x in batches:
+    def near(parts):
+        for x in parts:
             keep = [(d := most_different(n, m, threshold)) >= 0 and hamming(p, q) <= d for n, m, p, q in zip(x.n_a, x.n_b, x.bits_a, x.bits_b, strict=True)]
             yield x.loc[keep, ["a", "b"]]
 
@@ -274,16 +279,18 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
     left = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select(F.col("id").alias("class"))).distinct()
     wanted = left.join(classes, "class").select("class", "first_id")
 
-    def again(batches):
-        for x in batches:
+    def again(parts):
+        for x in parts:
             rows = [(c, h.tobytes()) for c, h in ((c, shingle_set(t, shingle)) for c, t in zip(x["class"], x["text"], strict=True)) if len(h) and class_of(h) == c]
             yield pd.DataFrame(rows, columns=["class", "set"])
 
     texts = docs.select(F.col("doc_id").alias("first_id"), "text").where("text is not null")
     sets = work.write(texts.join(wanted, texts["first_id"].eqNullSafe(wanted["first_id"])).select("class", "text").mapInPandas(again, "class long, set binary").dropDuplicates(["class"]), "sets")
 
-    def verified(batches):
-        for x in batches:
+    batches.use(spark, batches.SETS)
+
+    def verified(parts):
+        for x in parts:
             keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(x.set_a, x.set_b, strict=True)]
             yield x.loc[keep, ["a", "b"]]
 
@@ -349,6 +356,7 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
     repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
         order = Window.partitionBy("doc_id").orderBy("_text")
+        kept, back = set_aside(kept, ["_text", "_before"])
         kept = kept.withColumn("_text", F.xxhash64("text")).withColumn("_before", F.lag("_text").over(order))
-        kept = kept.where(~F.col("_text").eqNullSafe(F.col("_before"))).drop("_text", "_before")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        kept = back(kept.where(F.col("_before").isNull() | ~F.col("_text").eqNullSafe(F.col("_before"))).drop("_text", "_before"))
+    return kept.select([f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))

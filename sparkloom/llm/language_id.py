@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import batches
+from .columns import set_aside
+
 PER_LANGUAGE = 300  # labelled rows a language that a model is fitted on
 WINDOWS = 3  # parts of such a row, spread over its text, that count as short examples
 WINDOW_CHARS = (40, 160)
@@ -162,11 +165,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     order = Window.partitionBy("lang").orderBy("spread", "doc_id", "text")
     chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
 
-    def vectors(batches):
-        for batch in batches:
+    def vectors(parts):
+        for batch in parts:
             made = [(r.lang, r.k, i, x.tobytes()) for r in batch.itertuples() for i, x in enumerate(_examples(r.text))]
             yield pd.DataFrame(made, columns=["lang", "k", "i", "x"])
 
+    batches.use(labelled.sparkSession, batches.TEXTS)
     got = chosen.select("lang", "k", "text").mapInPandas(vectors, "lang string, k int, i int, x binary").toPandas()
     got = got.sort_values(["lang", "k", "i"])
     if got.empty:
@@ -184,5 +188,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = docs.drop("lang_pred", "score")
-    return kept.withColumn("_lang", predicted("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_lang.lang_pred", "_lang.score")
+    batches.use(docs.sparkSession, batches.TEXTS)
+    kept, back = set_aside(docs.drop("lang_pred", "score"), ["_lang"])
+    return back(kept.withColumn("_lang", predicted("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_lang.lang_pred", "_lang.score"))

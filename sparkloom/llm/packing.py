@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import batches
 from .bpe import Tokenizer
 from .workspace import Workspace
 
@@ -27,9 +28,9 @@ def token_rows(docs: DataFrame, tokenizer: Tokenizer, end_id: int = END_ID) -> D
     that the rows before it in the same task have.  A null text has the end id alone."""
     end = end_id.to_bytes(4, "little")
 
-    def encoded(batches):
+    def encoded(parts):
         task, at, encoder = TaskContext.get().partitionId(), 0, tokenizer.encoder
-        for batch in batches:
+        for batch in parts:
             ids = [encoder.encode(t) + end for t in batch["text"]]
             sizes = pd.Series([len(x) // 4 for x in ids], dtype="int64")
             starts = at + sizes.cumsum() - sizes
@@ -46,6 +47,7 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end_id: in
     Repeated rows are packed each; null ids stay null.  An empty table gives no pieces.
     """
     work = Workspace(docs.sparkSession)
+    batches.use(docs.sparkSession, batches.TEXTS)
     rows = work.write(token_rows(docs, tokenizer, end_id), "tokens", "zstd")
     size = (F.octet_length("ids") / 4).cast("long")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
+
 #: Frequent function words of the reference languages.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine"],
@@ -26,6 +28,10 @@ CHAR_CLASSES = ("space", "symbol", "digit", "beyond_ascii", "other")
 SYMBOLS = "[#*$%&|<>]"
 SPACES = " \t\n\x0b\f\r"
 
+#: Names of columns that come and go on the way, and of those that stay.
+WORKING = ("_words", "_bits", "_at", "_sorted", "_wide", "_pairs", "_where", "_repeats", "_lines", "_chars", "_common", "_found", "_starts", "_length", "_in_words", "_symbols", "_digits", "_more_bytes", "_total", "_entries")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "divergence")
+
 MIN_WORDS = 50  # fewer words fail the base rule
 MAX_REPEAT_PERCENT = 50  # so do texts with a larger share of repeated words
 GUARD_WORDS = 50  # the common-word histogram counts from here on
@@ -153,6 +159,7 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     refs = references(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    docs, back = set_aside(docs, WORKING)
     out = _histograms(_repeats(_measured(docs))).withColumn("_lines", lines)
     n = F.size("_words").cast("long")
     divergence = F.lit(None).cast("double")
@@ -176,7 +183,7 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("divergence") <= max_distance, F.lit(True)))
-    return out.drop("_words", "_lines", "_chars", "_common", "_length", "_in_words", "_symbols", "_digits", "_more_bytes", "_repeats", "_total", "_entries")
+    return back(out.drop(*WORKING))
 
 
 def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -184,5 +191,6 @@ def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
 
     The row number is there for the optimizer alone: a filter on ``kept`` would be pushed below the
     projections it is made in, with every expression written out in place again and again."""
-    judged = judge(docs, max_distance).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+    own, back = set_aside(docs, ["kept", "_row", *MEASURES])
+    judged = judge(own, max_distance).withColumn("_row", F.monotonically_increasing_id())
+    return back(judged.where(F.col("kept") & (F.col("_row") >= 0)).select([f"`{c}`" for c in own.columns]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, jaccard_join, language_id, packing, quality_rules, secret_scan, sharding, url_filters
+from . import bpe, chat_format, embedding_dedup, jaccard_join, language_id, oracle, packing, quality_rules, secret_scan, sharding, url_filters
 
 N_SHARDS = 40
 #: The rules of op10.
@@ -76,7 +76,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "divergence", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": oracle.JACCARD,
+    "op5_chat_formatting": oracle.CHAT,
+    "op8_quality_rules": oracle.QUALITY,
+    "op9_embedding_dedup": oracle.EMBEDDINGS,
+    "op10_url_filters": oracle.URLS,
+}

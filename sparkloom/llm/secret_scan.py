@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import automaton
+from . import automaton, batches
+from .columns import set_aside
 
 
 @dataclass(frozen=True)
@@ -135,8 +136,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             rows.append((*(kinds.count(r.kind) for r in BASE), digest, joined(spans)))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    kept = docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans")
-    return kept.withColumn("_found", found("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_found.*")
+    batches.use(docs.sparkSession, batches.TEXTS)
+    kept, back = set_aside(docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans"), ["_found"])
+    return back(kept.withColumn("_found", found("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_found.*"))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -158,4 +160,5 @@ def redact(docs: DataFrame) -> DataFrame:
         values = texts.tolist()
         return pd.Series([redact_text(t, s) if s else t for t, s in zip(values, scanner.spans(values), strict=True)], dtype=object)
 
+    batches.use(docs.sparkSession, batches.TEXTS)
     return docs.withColumn("text", cleaned("text"))
