@@ -4,8 +4,9 @@ Documents that share a link key (here: equal texts) attract each other.  Each ro
 of a key in every shard; a member wants to be where most of them are.  A key with more members than a
 shard may hold attracts to as many of its fullest shards as hold it.  The wished moves between the n x n
 pairs of shards are counted, the largest shares of them that respect every shard's quota are found on
-those n x n numbers, and documents move with that share, small keys as a whole.  A last pass makes the
-quotas exact: what is over a shard's quota, and all documents without links, fill the free places.
+those n x n numbers, and documents of small keys move with that share, each key as a whole.  Large keys go where they want to, as
+small ones can make room without a cut: a last pass makes the quotas exact, large keys first, and what
+is over a shard's quota, with all documents without links, fills the free places.
 
 Law ``rows``: the counts of any two shards differ by one at most.
 
@@ -22,9 +23,10 @@ from pyspark.sql.window import Window
 
 from .workspace import Workspace
 
-ROUNDS = 6
+ROUNDS = 8
 STILL = 0.002  # propagation ends when a smaller share of linked documents still moves
 PER_BUCKET = 20_000  # rows that are ranked together
+LARGE = 20  # a key is large if so many of its size fill a shard
 
 
 def facts(docs: DataFrame) -> DataFrame:
@@ -56,23 +58,27 @@ def propagate(linked: DataFrame, n_shards: int, quota: list[int], rounds: int, w
     """linked (row_id, link_key, members ...) with ``shard`` after the rounds."""
     state = linked.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(n_shards)).cast("int"))
     free, last = max(1, min(quota)), None
+    large, open_ = F.col("members") * LARGE > free, [True] * n_shards
     for k in range(rounds):
+        room = large | F.get(F.array(*[F.lit(x) for x in open_]), F.col("shard"))
         cells = state.groupBy("link_key", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members"))
-        ranked = F.sort_array(F.collect_list(F.struct("n", "shard")), asc=False)  # one entry a shard at most
+        ranked = F.sort_array(F.collect_list(F.struct(room.alias("room"), "n", F.xxhash64("link_key", "shard", F.lit(k)).alias("tie"), "shard")), asc=False)  # one entry a shard at most
         wide = F.greatest(F.lit(1), F.ceil(F.col("members") / free).cast("int"))
         targets = cells.groupBy("link_key").agg(ranked.alias("at"), F.max("members").alias("members")).select("link_key", F.transform(F.slice("at", 1, F.least(wide, F.size("at"))), lambda x: x["shard"]).alias("targets"))
         want = F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.get("targets", F.pmod(F.xxhash64("row_id", F.lit(k)), F.size("targets")).cast("int")))
         moves = work.write(state.join(targets, "link_key").withColumn("want", want).drop("targets"), f"moves{k}")
-        counts = {(r.shard, r.want): r.n for r in moves.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()}  # n_shards squared
+        counts = moves.groupBy("shard", "want", large.alias("large")).agg(F.count("*").alias("n")).collect()  # 2 * n_shards squared
         if last is not None:
             work.drop(last)
         last = moves
-        load = [sum(n for (i, _), n in counts.items() if i == s) for s in range(n_shards)]
-        flow = {k: n for k, n in counts.items() if k[0] != k[1]}
-        share = F.array(*[F.lit(x) for x in _shares(flow, load, quota)])
-        luck = F.when(F.col("members") * 20 <= free, _fraction("link_key", F.lit(k))).otherwise(_fraction("row_id", F.lit(k)))
-        state = moves.withColumn("shard", F.when(luck < F.get(share, F.col("want")), F.col("want")).otherwise(F.col("shard"))).drop("want")
-        if sum(flow.values()) <= STILL * sum(load):
+        load = [sum(r.n for r in counts if (r.want if r.large else r.shard) == s) for s in range(n_shards)]
+        flow = {(r.shard, r.want): r.n for r in counts if not r.large and r.shard != r.want}
+        shares = _shares(flow, load, quota)
+        open_ = [shares[s] > 0.2 or load[s] < 0.9 * quota[s] for s in range(n_shards)]
+        share = F.array(*[F.lit(x) for x in shares])
+        goes = large | (_fraction("link_key", F.lit(k)) < F.get(share, F.col("want")))
+        state = moves.withColumn("shard", F.when(goes, F.col("want")).otherwise(F.col("shard"))).drop("want")
+        if sum(r.n for r in counts if r.shard != r.want) <= STILL * sum(load):
             break
     return state
 
@@ -93,10 +99,10 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     work.drop(base)
     linked = work.write(propagate(rows.where("members is not null"), n_shards, quota, rounds, work), "linked")
 
-    # Ranks within a shard: whole small keys first, so that what is over the quota comes from large keys.
+    # Ranks within a shard: large keys first, so that what is over the quota are whole small keys.
     buckets = max(1, -(-total // PER_BUCKET))
-    large = F.col("members") > F.lit(PER_BUCKET // 20)
-    bucket = F.pmod(F.when(large, F.xxhash64("row_id")).otherwise(F.xxhash64("link_key")), F.lit(buckets)) + F.when(large, buckets).otherwise(0)
+    spread = F.pmod(F.when(F.col("members") > PER_BUCKET // 20, F.xxhash64("row_id")).otherwise(F.xxhash64("link_key")), F.lit(buckets))
+    bucket = spread + F.when(F.col("members") * LARGE > max(1, min(quota)), 0).otherwise(buckets)
     linked = linked.withColumn("bucket", bucket)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = linked.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -109,7 +115,7 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
 
     # The rest, whole keys together, goes to the free places in order.
     rest = ranked.where(~fits).drop("slot", "shard").unionByName(rows.where("members is null"))
-    rest = rest.withColumn("bucket", F.pmod(F.when(large, F.xxhash64("row_id")).otherwise(F.xxhash64("link_key")), F.lit(buckets)))
+    rest = rest.withColumn("bucket", spread)
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = rest.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("link_key", "row_id")) - 1
