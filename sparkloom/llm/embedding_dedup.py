@@ -66,8 +66,8 @@ def buckets(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> Dat
                     codes[r] = c
             yield pd.DataFrame({"class_id": x["class_id"].array, "n": x["n"].array, "vector": x["vector"], "codes": codes})
 
-    kind, vector = classes.schema["class_id"].dataType.simpleString(), classes.schema["vector"].dataType.simpleString()
-    return classes.mapInPandas(sign, f"class_id {kind}, n long, vector {vector}, codes array<int>")
+    vector = classes.schema["vector"].dataType.simpleString()
+    return classes.mapInPandas(sign, f"class_id long, n long, vector {vector}, codes array<int>")
 
 
 def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -177,7 +177,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     part = part if part in ("float", "double") else "double"
     clean = F.transform("embedding", lambda x: (x.cast(part) + F.lit(0).cast(part)).cast(part))  # -0.0 becomes 0.0
     rows = vectors.select("vec_id", F.when(usable(F.col("embedding")) & F.col("vec_id").isNotNull(), clean).alias("vector"))
-    classes = work.write(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    classes = work.write(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     bits, tables = plan(classes.count(), threshold, recall)
     signed = work.write(buckets(classes.select("class_id", "n", "vector"), bits, tables), "signed")
 
@@ -189,14 +190,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     met = met.select("class_id", "dim", "t", "code", F.least("own", "k").alias("low"), F.greatest("own", "k").alias("high"), (F.col("own") >= F.col("k")).alias("upper"))
     met = met.withColumn("code", F.xxhash64("dim", "code"))
     placed = met.join(signed, "class_id").select("class_id", "t", "code", "low", "high", "upper", "n", "vector", "codes")
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    found = placed.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(lambda b: _groups(b, threshold), f"class_id {kind}, links long, other {kind}")
+    found = placed.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(lambda b: _groups(b, threshold), "class_id long, links long, other long")
     found = work.write(found, "found")
 
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("class_id").alias("a"), F.col("other").alias("b")), work)
-    known = classes.join(counts, "class_id", "left").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
-    known = known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    own = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = own.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = own.join(least, "component").join(counts, "class_id", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     some = rows.where("vector is not null").join(known, "vector").select("vec_id", "n_links", "component_id")
     none = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -182,15 +182,14 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("divergence") <= max_distance, F.lit(True)))
+    # A filter on kept must stay above the projections that kept is made in: pushed below them, it would
+    # hold every expression written out in place again and again.  A row number, always >= 0, keeps it there.
+    near = F.coalesce(F.col("divergence") <= max_distance, F.lit(True))
+    out = out.withColumn("kept", ~F.col("base_failed") & near & (F.monotonically_increasing_id() >= 0))
     return back(out.drop(*WORKING))
 
 
 def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their own columns.
-
-    The row number is there for the optimizer alone: a filter on ``kept`` would be pushed below the
-    projections it is made in, with every expression written out in place again and again."""
-    own, back = set_aside(docs, ["kept", "_row", *MEASURES])
-    judged = judge(own, max_distance).withColumn("_row", F.monotonically_increasing_id())
-    return back(judged.where(F.col("kept") & (F.col("_row") >= 0)).select([f"`{c}`" for c in own.columns]))
+    """The rows of docs that ``judge`` keeps, with their own columns."""
+    own, back = set_aside(docs, ["kept", *MEASURES])
+    return back(judge(own, max_distance).where("kept").select([f"`{c}`" for c in own.columns]))
