@@ -128,6 +128,7 @@ def _measured(docs: DataFrame, shingle: int) -> DataFrame:
                 rows.append((len(h), class_of(h), parity_bits(h)) if len(h) else (0, None, None))
             n, c, bits = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_shingles": pd.array(n, "int64"), "class": pd.array(c, "Int64"), "bits": pd.Series(bits, dtype=object)})
+        batches.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(measure, f"doc_id {kind}, n_shingles long, class long, bits binary")
@@ -149,11 +150,13 @@ def _lanes(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
                     keys.append(bands.keys(h, band).view(np.int64))
                     classes.append(np.full(len(keys[-1]), c, np.int64))
                     held += len(keys[-1])
-                if held > 200_000:
+                if held > 100_000:
                     yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes)})
                     keys, classes, held = [], [], 0
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes)})
+        seen.clear()
+        batches.release()
 
     return docs.select("text").mapInPandas(sketch, "key long, class long")
 
@@ -293,6 +296,7 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
         for x in parts:
             keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(x.set_a, x.set_b, strict=True)]
             yield x.loc[keep, ["a", "b"]]
+        batches.release()
 
     side = lambda s: sets.select(F.col("class").alias(s), F.col("set").alias(f"set_{s}"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verified, "a long, b long")

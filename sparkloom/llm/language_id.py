@@ -64,13 +64,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 2
     """Weights (the last is the bias) of a linear machine with squared hinge loss, y in -1 and 1, by
     accelerated gradient steps; and the slope that turns a margin into a probability."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))  # both sides count alike
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x1.dtype)  # both sides count alike
+    y = y.astype(x1.dtype)  # else every product would copy x1 as doubles
     step = 1.0 / (4.0 + strength)  # of the loss's curvature: 2 * |x|^2, where |x|^2 is 2
-    w = v = np.zeros(x1.shape[1])
+    w = v = np.zeros(x1.shape[1], x1.dtype)
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x1 @ v))
-        new = v - step * (strength * v - 2 * (x1.T @ (weight * y * slack)))
-        w, v = new, new + t / (t + 3) * (new - w)
+        new = v - x1.dtype.type(step) * (x1.dtype.type(strength) * v - 2 * ((weight * y * slack) @ x1))
+        w, v = new, new + x1.dtype.type(t / (t + 3)) * (new - w)
     margin, slope = y * (x1 @ w), 1.0
     for _ in range(50):  # Newton on the logistic loss, held at 20 where the sides are apart
         p = 1 / (1 + np.exp(-np.clip(slope * margin, -30, 30)))
@@ -186,7 +187,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        told = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        batches.release()
+        return told
 
     batches.use(docs.sparkSession, batches.TEXTS)
     kept, back = set_aside(docs.drop("lang_pred", "score"), ["_lang"])

@@ -36,6 +36,7 @@ def token_rows(docs: DataFrame, tokenizer: Tokenizer, end_id: int = END_ID) -> D
             starts = at + sizes.cumsum() - sizes
             at += int(sizes.sum())
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "ids": ids, "task": task, "at": starts})
+        batches.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(encoded, f"doc_id {kind}, ids binary, task int, at long")
