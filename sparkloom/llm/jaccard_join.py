@@ -9,7 +9,8 @@ band below are sketched for that band too.
 
 A lane that got no shingle is equal for very many documents.  Each band has E lanes more than needed, so
 d differing lanes leave E + 1 equal ones; a document with at most E empty lanes needn't join on those,
-and one with more does.  No link is lost either way.
+and one with more does.  No link is lost either way.  By the same count a linked pair shares several
+lanes, so a class with too few lanes that it shares with anyone is left out early, and so is a pair.
 
 What shares a lane is tested by parity bits first: shingles toggle bits of a bit sketch (about 2 to 4 bits
 a shingle), whose Hamming distance never exceeds the symmetric difference.  Survivors are verified
@@ -44,6 +45,8 @@ GROWTH = 1.5  # of a band's largest size over its smallest
 SMALL = 32  # classes in a lane whose pairs are given out
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # of a block in a cluster
 LARGEST = 1 << 40  # bands cover sets up to this size
+NEED = 1 << 16  # band * NEED + need is one integer
+WORDS = 1 << 18  # of 64 bits, in the bitmaps that spare most texts a shuffle
 _U = np.uint64
 
 
@@ -73,16 +76,19 @@ class Bands:
         both = (k, k - 1) if k and size <= self.high[k - 1] * 100 // self.threshold else (k,)
         return [b for b in both if self.lanes[b] > 1]
 
-    def keys(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        """What a set with these sorted hashes joins on in a band."""
+    def keys(self, hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        """What a set with these sorted hashes joins on in a band, and how many of its keys any set that
+        links to it in this band has too: the equal lanes less those that both leave out as empty."""
         lanes = self.lanes[band]
         lane = ((hashes >> _U(32)) * _U(lanes)) >> _U(32)  # hashes are sorted, so lanes are runs
         first = np.flatnonzero(np.diff(lane, prepend=_U(lanes)))
         value, lane = np.bitwise_xor.reduceat(hashes, first), lane[first]
-        if lanes - len(lane) > self.spare[band]:
+        need = self.spare[band] + 1 - (lanes - len(lane))
+        if need < 1:
+            need = 1
             rest = np.setdiff1d(np.arange(lanes, dtype=np.uint64), lane)
             lane, value = np.concatenate([lane, rest]), np.concatenate([value, np.zeros(len(rest), np.uint64)])
-        return mix(value ^ mix(lane + _U(band << 48)))
+        return mix(value ^ mix(lane + _U(band << 48))), min(need, NEED - 1)
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -135,65 +141,95 @@ def _measured(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _lanes(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
-    """key and class; a task gives out each class once."""
+    """key, class and info (band and need); a task gives out each class once."""
 
     def sketch(parts):
         seen: set[int] = set()
         for batch in parts:
-            keys, classes, held = [], [], 0
+            keys, classes, infos, held = [], [], [], 0
             for t in batch["text"]:
                 h = shingle_set(t, shingle)
                 if not len(h) or (c := class_of(h)) in seen:
                     continue
                 seen.add(c)
                 for band in bands.of(len(h)):
-                    keys.append(bands.keys(h, band).view(np.int64))
-                    classes.append(np.full(len(keys[-1]), c, np.int64))
+                    own, need = bands.keys(h, band)
+                    keys.append(own.view(np.int64))
+                    classes.append(np.full(len(own), c, np.int64))
+                    infos.append(np.full(len(own), band * NEED + need, np.int32))
                     held += len(keys[-1])
                 if held > 100_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes)})
-                    keys, classes, held = [], [], 0
+                    yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes), "info": np.concatenate(infos)})
+                    keys, classes, infos, held = [], [], [], 0
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes), "info": np.concatenate(infos)})
         seen.clear()
         batches.release()
 
-    return docs.select("text").mapInPandas(sketch, "key long, class long")
+    return docs.select("text").mapInPandas(sketch, LANE)
+
+
+LANE = "key long, class long, info int"
+
+
+def shared_rows(parts):
+    """Of rows sorted by (key, class), those whose key has more than one class, each once.  Keeps one row
+    between batches, the last, which may turn out to share its key."""
+    last, given = None, False
+    for batch in parts:
+        if not len(batch):
+            continue
+        x = batch if last is None else pd.concat([last, batch], ignore_index=True)
+        key, cls = x["key"].to_numpy(), x["class"].to_numpy()
+        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+        x, key = x[new], key[new]
+        same = key[1:] == key[:-1]
+        give = np.r_[False, same] | np.r_[same, False]
+        if last is not None and given:
+            give[0] = False
+            given = len(x) == 1
+        else:
+            given = False
+        given = given or bool(len(x) > 1 and same[-1])
+        last = x.iloc[-1:]
+        yield x[give]
 
 
 def bucket_pairs(parts, small: int = SMALL):
-    """(a, b, large) from rows sorted by (key, class): all pairs of a key with up to ``small`` classes,
-    else a star from its first class, marked large.  Keeps at most ``small`` rows between batches."""
-    held_key, held, hub = None, np.zeros(0, np.int64), None
+    """(a, b, info, large) from rows sorted by (key, class): all pairs of a key with up to ``small`` classes,
+    with the larger info of both, else a star from its first class, marked large.  Keeps at most
+    ``small`` rows between batches."""
     empty = np.zeros(0, np.int64)
+    held_key, held, held_info, hub = None, empty, empty, None
     for batch in parts:
-        key, cls = batch["key"].to_numpy(), batch["class"].to_numpy()
+        key, cls, info = batch["key"].to_numpy(), batch["class"].to_numpy(), batch["info"].to_numpy()
         if not len(key):
             continue
-        out_a, out_b, out_large = [], [], []
+        out_a, out_b, out_info, out_large = [], [], [], []
         if hub is not None:  # a large key that began before
             own = int(np.searchsorted(key != held_key, True))
             out_a.append(np.full(own, hub))
             out_b.append(cls[:own])
+            out_info.append(info[:own])
             out_large.append(np.ones(own, bool))
-            key, cls = key[own:], cls[own:]
+            key, cls, info = key[own:], cls[own:], info[own:]
             if len(key):
                 hub = None
         if hub is None and len(key):
             if len(held):
-                key, cls = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, cls])
+                key, cls, info = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, cls]), np.concatenate([held_info, info])
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
+            key, cls, info = key[new], cls[new], info[new]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[first, len(key)])
             run = np.repeat(np.arange(len(first)), size)
             held_key, held = key[-1], empty
             open_ = len(first) - 1
             if size[-1] <= small:  # may go on in the next batch
-                held = cls[first[-1] :]
+                held, held_info = cls[first[-1] :], info[first[-1] :]
                 keep = run < open_
-                cls, run = cls[keep], run[keep]
+                cls, info, run = cls[keep], info[keep], run[keep]
             else:
                 hub = cls[first[-1]]
             big = size > small
@@ -201,6 +237,7 @@ def bucket_pairs(parts, small: int = SMALL):
                 at = np.flatnonzero(big[run])
                 out_a.append(cls[first[run[at]]])
                 out_b.append(cls[at])
+                out_info.append(info[at])
                 out_large.append(np.ones(len(at), bool))
             at = np.flatnonzero(~big[run])
             for step in range(1, small):
@@ -210,12 +247,13 @@ def bucket_pairs(parts, small: int = SMALL):
                     break
                 out_a.append(cls[at])
                 out_b.append(cls[at + step])
+                out_info.append(np.maximum(info[at], info[at + step]))
                 out_large.append(np.zeros(len(at), bool))
         if out_a:
-            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "large": np.concatenate(out_large)})
+            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "info": np.concatenate(out_info).astype(np.int32), "large": np.concatenate(out_large)})
     if hub is None and len(held) > 1:
         i, j = np.triu_indices(len(held), 1)
-        yield pd.DataFrame({"a": held[i], "b": held[j], "large": np.zeros(len(i), bool)})
+        yield pd.DataFrame({"a": held[i], "b": held[j], "info": np.maximum(held_info[i], held_info[j]).astype(np.int32), "large": np.zeros(len(i), bool)})
 
 
 class _Forest:
@@ -256,6 +294,19 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, threshold: int) -> li
     return out
 
 
+def maybe_in(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """table with ``_maybe``: false only where the column's value is surely not among ``wanted``'s.
+
+    A bitmap over hashes of the wanted values, of ``WORDS`` words whatever the data, is broadcast; rows
+    that it rules out need no shuffle to be told apart.  The more values, the fewer it rules out."""
+    h = F.xxhash64(column)
+    word, bit = F.pmod(h, F.lit(WORDS)), F.pmod(F.expr(f"xxhash64({column}) div {WORDS}"), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = wanted.select(word.alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    out = table.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    return out.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(measured rows, links, classes): links (a, b) between classes connect exactly what is linked."""
     bands, spark = Bands(threshold), docs.sparkSession
@@ -264,10 +315,15 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
     classes = work.write(measured.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
 
     batches.use(spark, batches.BOTH)
-    lanes = _lanes(docs, shingle, bands).repartition("key").sortWithinPartitions("key", "class")
-    found = work.write(lanes.mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, large boolean"), "lanes")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "class")
+    shared = work.write(by_key(_lanes(docs, shingle, bands)).mapInPandas(shared_rows, LANE), "shared")
+    enough = F.col("lanes") >= F.pmod("info", F.lit(NEED))
+    alive = shared.groupBy("class", "info").agg(F.count("*").alias("lanes")).where(enough).select("class", "info")
+    found = by_key(shared.join(alive, ["class", "info"])).mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, info int, large boolean")
+    found = work.write(found, "found")
     batches.use(spark, batches.TEXTS)
-    pairs = found.where("not large").select("a", "b").distinct()
+    met = found.where("not large").groupBy("a", "b", F.floor(F.col("info") / NEED).alias("band")).agg(F.count("*").alias("lanes"), F.max("info").alias("info"))
+    pairs = met.where(enough).select("a", "b").distinct()
 
     def near(parts):
         for x in parts:
@@ -288,6 +344,7 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
             yield pd.DataFrame(rows, columns=["class", "set"])
 
     texts = docs.select(F.col("doc_id").alias("first_id"), "text").where("text is not null")
+    texts = maybe_in(texts, "first_id", wanted).where("_maybe").drop("_maybe")
     sets = work.write(texts.join(wanted, texts["first_id"].eqNullSafe(wanted["first_id"])).select("class", "text").mapInPandas(again, "class long, set binary").dropDuplicates(["class"]), "sets")
 
     batches.use(spark, batches.SETS)
@@ -355,8 +412,12 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
     Documents without words link with nothing and stay.  Rows that repeat an id and its text become one
     row.  Rows with a null id can't be named as anyone's copy and stay, all of them.
     """
-    judged = near_duplicates(docs, threshold, shingle).where("doc_id is not null and doc_id = component_id").select("doc_id")
-    kept = docs.where("doc_id is not null").join(judged.distinct(), "doc_id", "left_semi")
+    work = Workspace(docs.sparkSession)
+    judged = work.write(near_duplicates(docs, threshold, shingle).where("doc_id is not null").select("doc_id", "component_id"), "judged")
+    own, back = set_aside(docs, ["_word", "_bits", "_maybe"])
+    marked = maybe_in(own.where("doc_id is not null"), "doc_id", judged.where("doc_id <> component_id"))
+    again = marked.where("_maybe").join(judged.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = back(marked.where("not _maybe").unionByName(again).drop("_maybe"))
     repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
         order = Window.partitionBy("doc_id").orderBy("_text")

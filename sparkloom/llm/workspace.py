@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing a table and reading it again.
 The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) a temporary one is made and set.  Parquet files
+that is unset in local mode (tests, notebooks) a temporary one is made and set; on a cluster it must be.  Parquet files
 there survive the loss of any executor.
 """
 
@@ -22,6 +22,8 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
             spark.sparkContext.setCheckpointDir(base)
         self.spark, self.root, self.made = spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}", 0
