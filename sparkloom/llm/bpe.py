@@ -24,7 +24,7 @@ from .columns import set_aside
 
 #: Fixed value: the pre-tokenizer's pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_FRAGMENTS = 60_000  # a worker forgets all fragments beyond
+KEPT_FRAGMENTS = 30_000  # a worker forgets all fragments beyond
 
 
 def _byte_letters() -> dict[str, int]:

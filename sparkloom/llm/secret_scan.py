@@ -158,7 +158,9 @@ def redact(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         values = texts.tolist()
-        return pd.Series([redact_text(t, s) if s else t for t, s in zip(values, scanner.spans(values), strict=True)], dtype=object)
+        out = pd.Series([redact_text(t, s) if s else t for t, s in zip(values, scanner.spans(values), strict=True)], dtype=object)
+        batches.release()
+        return out
 
     batches.use(docs.sparkSession, batches.TEXTS)
     return docs.withColumn("text", cleaned("text"))
