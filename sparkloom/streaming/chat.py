@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS_JS, is_filled, preview, text_or_empty
 
+#: What results begin with, and the answers and models of a pipe that has none of its own.
+ACTION, TOOL = "Action processed: ", "Processed: "
+ANSWER = "This is a response from the pipe function."
+MODELS = (("model-1", "Model 1"), ("model-2", "Model 2"))
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -31,7 +36,7 @@ def _on(rows: DataFrame, roles: tuple[str, ...], change: Callable[[Column], Colu
 
 
 def action_result(content: Column) -> Column:
-    return F.concat(F.lit("Action processed: "), preview(content))
+    return F.concat(F.lit(ACTION), preview(content))
 
 
 def body_content(body: Column) -> Column:
@@ -40,7 +45,7 @@ def body_content(body: Column) -> Column:
 
 
 def tool_result(query: Column) -> Column:
-    return F.concat(F.lit("Processed: "), text_or_empty(query))
+    return F.concat(F.lit(TOOL), text_or_empty(query))
 
 
 def last_assistant_message(rows: DataFrame) -> DataFrame:
@@ -63,8 +68,8 @@ class Pipe:
     id: str = "pipe"
     name: str = "Pipe"
     type: str = "manifold"
-    models: tuple[tuple[str, str], ...] = (("model-1", "Model 1"), ("model-2", "Model 2"))
-    answer: Callable[[str], Iterable[str]] = lambda text: ("This is a response from the pipe function.",)
+    models: tuple[tuple[str, str], ...] = MODELS
+    answer: Callable[[str], Iterable[str]] = lambda text: (ANSWER,)
     settings: Mapping[str, str] = field(default_factory=dict)
 
     def pipes(self, spark: SparkSession) -> DataFrame:
