@@ -6,7 +6,8 @@ shard may hold attracts to as many of its fullest shards as hold it.  The wished
 pairs of shards are counted, the largest shares of them that respect every shard's quota are found on
 those n x n numbers, and documents of small keys move with that share, each key as a whole.  Large keys go where they want to, as
 small ones can make room without a cut: a last pass makes the quotas exact, large keys first, and what
-is over a shard's quota, with all documents without links, fills the free places.
+is over a shard's quota, with small keys that are still in several shards and all documents without
+links, fills the free places.  Small keys go there whole; at most one a shard is cut, where none has room.
 
 Law ``rows``: the counts of any two shards differ by one at most.
 
@@ -17,6 +18,9 @@ buckets whose number grows with the table.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +87,56 @@ def propagate(linked: DataFrame, n_shards: int, quota: list[int], rounds: int, w
     return state
 
 
+def _bucket(buckets: int, first: Column) -> Column:
+    """What is ranked together, in order: whole keys by their hash; a key of many rows has buckets of its own beside."""
+    own = F.coalesce(F.col("members") > PER_BUCKET // 20, F.lit(False))
+    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("members") / PER_BUCKET))
+    return F.struct(first.alias("first"), F.pmod(F.xxhash64("link_key"), F.lit(buckets)).alias("hash"), F.when(own, F.col("link_key")).otherwise(F.lit(b"")).alias("own"), F.when(own, part).otherwise(F.lit(0)).alias("part"))
+
+
+def _order(taken: list[int], quota: list[int]) -> tuple[list[int], list[int]]:
+    """Shards by free places, most first, and where the free places of each end."""
+    order = sorted(range(len(quota)), key=lambda s: taken[s] - quota[s])
+    return order, list(itertools.accumulate(quota[s] - taken[s] for s in order))
+
+
+def _stretches(linked: int, spans: list[tuple[int, int]], taken: list[int], quota: list[int]) -> list[tuple[int, int, int]]:
+    """(first rank, shard, slot less rank) of the stretches in which the rest goes to the free places.
+
+    The first ``linked`` ranks have links.  spans are (first rank, rows) of small keys at an end of a
+    shard's free places: those that it would cut go where they fit, before documents without links fill up."""
+    (order, ends), at, out = _order(taken, quota), list(taken), []
+    torn = sorted((a, n) for a, n in spans if bisect.bisect_right(ends, a) != bisect.bisect_right(ends, a + n - 1))
+
+    def put(rank: int, n: int, s: int) -> None:
+        out.append((rank, s, at[s] - rank))
+        at[s] += n
+
+    for s, start, end in zip(order, [0, *ends[:-1]], ends, strict=True):
+        low, high = start, min(end, linked)
+        for a, n in torn:
+            if a < low:
+                low = max(low, a + n)
+            else:
+                high = min(high, a)
+        if low < high:
+            put(low, high - low, s)
+    for a, n in sorted(torn, key=lambda x: -x[1]):
+        while n:
+            room = [q - x for q, x in zip(quota, at, strict=True)]
+            fits = [s for s, r in enumerate(room) if r >= n]
+            s = min(fits, key=room.__getitem__) if fits else room.index(max(room))
+            k = min(n, room[s])
+            put(a, k, s)
+            a, n = a + k, n - k
+    for s, q in enumerate(quota):
+        n = q - at[s]
+        if n:
+            put(linked, n, s)
+            linked += n
+    return sorted(out)
+
+
 def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, link_key, members, shard and slot for each row of docs (doc_id, text).
 
@@ -99,34 +153,39 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     work.drop(base)
     linked = work.write(propagate(rows.where("members is not null"), n_shards, quota, rounds, work), "linked")
 
-    # Ranks within a shard: large keys first, so that what is over the quota are whole small keys.
-    buckets = max(1, -(-total // PER_BUCKET))
-    spread = F.pmod(F.when(F.col("members") > PER_BUCKET // 20, F.xxhash64("row_id")).otherwise(F.xxhash64("link_key")), F.lit(buckets))
-    bucket = spread + F.when(F.col("members") * LARGE > max(1, min(quota)), 0).otherwise(buckets)
-    linked = linked.withColumn("bucket", bucket)
+    # A small key that is still apart gives up all its places and goes, whole, with the rest.
+    free, buckets = max(1, min(quota)), max(1, -(-total // PER_BUCKET))
+    large = F.coalesce(F.col("members") * LARGE > free, F.lit(False))
+    shards = linked.where(~large).groupBy("link_key").agg(F.min("shard").alias("low"), F.max("shard").alias("high"))
+    apart = work.write(shards.where("low < high").select("link_key"), "apart")
+
+    # Ranks within a shard: large keys first, so that what is over the quota are small keys; the key at the quota goes whole.
+    placed = linked.join(apart, "link_key", "left_anti").withColumn("bucket", _bucket(buckets, ~large))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = linked.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.col("start") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("link_key", "row_id")) - 1
-    ranked = work.write(linked.join(starts, ["shard", "bucket"]).withColumn("slot", rank.cast("long")).drop("start", "bucket"), "ranked")
-    load = {r.shard: r.n for r in ranked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # n_shards rows
-    taken = [min(load.get(s, 0), quota[s]) for s in range(n_shards)]
-    fits = F.col("slot") < F.get(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard"))
-    kept = ranked.where(fits)
-
-    # The rest, whole keys together, goes to the free places in order.
-    rest = ranked.where(~fits).drop("slot", "shard").unionByName(rows.where("members is null"))
-    rest = rest.withColumn("bucket", spread)
+    ranked = work.write(placed.join(starts, ["shard", "bucket"]).withColumn("slot", rank.cast("long")).drop("start", "bucket"), "ranked")
+    limit = F.get(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard"))
+    cut = {r.shard: bytes(r.link_key) for r in ranked.where(~large & (F.col("slot") == limit)).select("shard", "link_key").collect()}  # n_shards rows
+    cuts = F.array(*[F.lit(cut.get(s)).cast("binary") for s in range(n_shards)])
+    stays = (F.col("slot") < limit) & ~F.col("link_key").eqNullSafe(F.get(cuts, F.col("shard")))
+    kept = ranked.where(stays)
+    load = {r.shard: r.n for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # n_shards rows
+    taken = [load.get(s, 0) for s in range(n_shards)]
+
+    # The rest goes to the free places in order: large keys to the roomiest shards, small keys, then documents without links.
+    rest = ranked.where(~stays).drop("slot", "shard").unionByName(linked.join(apart, "link_key", "left_semi").drop("shard")).unionByName(rows.where("members is null"))
+    rest = rest.withColumn("bucket", _bucket(buckets, F.when(F.col("members").isNull(), 2).when(large, 0).otherwise(1)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = rest.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("link_key", "row_id")) - 1
-    ends, sum_ = [], 0
-    for q, t in zip(quota, taken, strict=True):
-        sum_ += q - t
-        ends.append(sum_)
-    ended = F.array(*[F.lit(e).cast("long") for e in ends])
-    rest = rest.join(starts, "bucket").withColumn("rank", rank.cast("long"))
-    rest = rest.withColumn("shard", F.size(F.filter(ended, lambda e: e <= F.col("rank"))).cast("int"))
-    offset = F.array(*[F.lit(q - e).cast("long") for q, e in zip(quota, ends, strict=True)])  # taken + rank - free places before
-    rest = rest.withColumn("slot", F.col("rank") + F.get(offset, F.col("shard")))
+    rest = work.write(rest.join(starts, "bucket").withColumn("rank", rank.cast("long")).drop("start", "bucket"), "rest")
+    pairs = rest.where("members is not null")
+    at_ends = pairs.where(~large & F.col("rank").isin(_order(taken, quota)[1])).select("link_key").distinct()
+    spans = pairs.join(F.broadcast(at_ends), "link_key").groupBy("link_key").agg(F.min("rank").alias("first"), F.count("*").alias("n")).collect()  # n_shards rows
+    stretches = _stretches(pairs.count(), [(r["first"], r.n) for r in spans], taken, quota) or [(0, 0, 0)]
+    firsts, shards, offsets = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in zip(*stretches, strict=True))
+    which = F.size(F.filter(firsts, lambda e: e <= F.col("rank"))) - 1
+    rest = rest.withColumn("shard", F.get(shards, which).cast("int")).withColumn("slot", F.col("rank") + F.get(offsets, which))
     columns = ["doc_id", "size", "text_crc32", "link_key", "members", "shard", "slot"]
     return kept.select(columns).unionByName(rest.select(columns))

@@ -72,6 +72,38 @@ def test_sharding_hot_group(spark):
     assert sum(len(v) > 1 for k, v in parts.items() if k != "hot") <= 30  # of 300
 
 
+def parts_of(spark, texts, n_shards):
+    """Shards of each text; shards are even and their slots without gaps."""
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_shards).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    n = collections.Counter(r.shard for r in rows)
+    assert max(n.values()) - min(n[s] for s in range(n_shards)) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(n_shards) for k in range(n[s])]
+    parts = collections.defaultdict(set)
+    for r in rows:
+        parts[texts[r.doc_id]].add(r.shard)
+    return parts
+
+
+@pytest.mark.parametrize(("hot", "keys", "size", "alone", "most"), [(1000, 400, 2, 1200, 0), (1000, 990, 2, 20, 10), (0, 200, 15, 0, 39)])
+def test_sharding_small_keys_whole(spark, hot, keys, size, alone, most):
+    """Skew leaves no small key apart but, where documents without links are too few to fill up, one a shard."""
+    texts = ["hot"] * hot + [f"key {i // size}" for i in range(keys * size)] + [f"alone {i}" for i in range(alone)]
+    parts = parts_of(spark, texts, 40)
+    assert sum(len(v) > 1 for k, v in parts.items() if k != "hot") <= most
+    assert len(parts["hot"]) <= 20
+
+
+def test_stretches_are_whole():
+    taken, quota = [7, 10, 8, 4], [10, 10, 10, 10]
+    out = sharding._stretches(7, [(2, 2), (4, 3)], taken, quota)  # free places: 3, 0, 2, 6
+    ends = [a for a, _, _ in out[1:]] + [11]
+    got = sorted((s, r + d) for (a, s, d), e in zip(out, ends, strict=True) for r in range(a, e))
+    assert got == [(s, k) for s in range(4) for k in range(taken[s], quota[s])]
+    home = {r: s for (a, s, _), e in zip(out, ends, strict=True) for r in range(a, e)}
+    assert home[2] == home[3] and home[4] == home[5] == home[6]
+
+
 def test_shares_respect_quotas():
     flow = {(0, 1): 10, (1, 0): 4, (2, 1): 10}
     share = sharding._shares(flow, [10, 10, 10], [10, 12, 10])
