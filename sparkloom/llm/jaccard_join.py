@@ -395,12 +395,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     each, with links of their own text.  Null ids stay null unless linked to others; an empty table gives
     no rows.
     """
-    work = Workspace(docs.sparkSession)
+    measured, lookup = _found(docs, threshold, shingle, small, block_sets, Workspace(docs.sparkSession))
+    return _named(measured, lookup)
+
+
+def _found(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(measured rows, lookup): component, named by a class, and least_id of each class."""
     measured, links, classes = similar_classes(docs, threshold, shingle, small, block_sets, work)
     parts = work.write(connected_components(links, work), "components").withColumnRenamed("id", "class")
     own = classes.select("class", "first_id").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = own.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    lookup = own.join(least, "component").select("class", "least_id")
+    return measured, own.join(least, "component").select("class", "component", "least_id")
+
+
+def _named(measured: DataFrame, lookup: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each measured row."""
+    lookup = lookup.select("class", "least_id")
     some = measured.where("class is not null").select("doc_id", "n_shingles", "class").join(lookup, "class", "left")
     none = measured.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("least_id"))
     return some.select("doc_id", "n_shingles", "least_id").unionByName(none).withColumnRenamed("least_id", "component_id")
@@ -410,18 +420,40 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
     """docs without near duplicates: of each component the document with the smallest doc_id.
 
     Documents without words link with nothing and stay.  Rows that repeat an id and its text become one
-    row.  Rows with a null id can't be named as anyone's copy and stay, all of them.
+    row; those that repeat an id with other texts are judged each by its own text, and of several in one
+    component one stays.  Rows with a null id can't be named as anyone's copy and stay, all of them.
     """
     work = Workspace(docs.sparkSession)
-    judged = work.write(near_duplicates(docs, threshold, shingle).where("doc_id is not null").select("doc_id", "component_id"), "judged")
-    own, back = set_aside(docs, ["_word", "_bits", "_maybe"])
-    marked = maybe_in(own.where("doc_id is not null"), "doc_id", judged.where("doc_id <> component_id"))
-    again = marked.where("_maybe").join(judged.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = back(marked.where("not _maybe").unionByName(again).drop("_maybe"))
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("_text")
-        kept, back = set_aside(kept, ["_text", "_before"])
-        kept = kept.withColumn("_text", F.xxhash64("text")).withColumn("_before", F.lag("_text").over(order))
-        kept = back(kept.where(F.col("_before").isNull() | ~F.col("_text").eqNullSafe(F.col("_before"))).drop("_text", "_before"))
-    return kept.select([f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    measured, lookup = _found(docs, threshold, shingle, SMALL, BLOCK_SETS, work)
+    judged = work.write(_named(measured, lookup).where("doc_id is not null").select("doc_id", "component_id"), "judged")
+    own, back = set_aside(docs, ["_word", "_bits", "_maybe", "_text", "_class", "_component", "_least", "_place"])
+    named = own.where("doc_id is not null")
+    gone, firsts = judged.where("doc_id <> component_id").select("doc_id"), judged.where("doc_id = component_id").select("doc_id").distinct()
+    repeats = work.write(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    if repeats.isEmpty():
+        marked = maybe_in(named, "doc_id", gone)
+        kept = marked.where("not _maybe").unionByName(marked.where("_maybe").join(firsts, "doc_id", "left_semi"))
+    else:
+        marked = maybe_in(named, "doc_id", gone.unionByName(repeats))
+        again = marked.where("_maybe").join(firsts.join(repeats, "doc_id", "left_anti"), "doc_id", "left_semi")
+        kept = marked.where("not _maybe").unionByName(again).drop("_maybe")
+        kept = kept.unionByName(_one_of_repeats(marked.where("_maybe").drop("_maybe").join(repeats, "doc_id", "left_semi"), lookup, shingle))
+    return back(kept.select([f"`{c}`" for c in own.columns])).select([f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+
+
+def _one_of_repeats(rows: DataFrame, lookup: DataFrame, shingle: int) -> DataFrame:
+    """Of rows whose ids repeat: one of each id and component that the id names, one of each text without words."""
+
+    @F.pandas_udf("long")
+    def classes(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, shingle) for t in texts)
+        told = pd.Series([class_of(h) if len(h) else None for h in sets], dtype="Int64")
+        batches.release()
+        return told
+
+    batches.use(rows.sparkSession, batches.TEXTS)
+    lookup = lookup.select(F.col("class").alias("_class"), F.col("component").alias("_component"), F.col("least_id").alias("_least"))
+    told = rows.withColumn("_class", classes("text")).withColumn("_text", F.xxhash64("text")).join(lookup, "_class", "left")
+    first = told.where(F.col("_class").isNull() | (F.col("doc_id") == F.col("_least")))
+    order = Window.partitionBy("doc_id", "_component", F.when(F.col("_class").isNull(), F.struct(F.col("text").isNull(), "_text"))).orderBy("_text")
+    return first.withColumn("_place", F.row_number().over(order)).where("_place = 1").select([f"`{c}`" for c in rows.columns])

@@ -209,6 +209,18 @@ def test_jaccard_odd(odd, none):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_one_of_each_repeated_ids(spark):
+    """Ids that repeat with other texts: each row goes or stays by its own text."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, b), (5, a), (5, b), (5, b + " more"), (5, a + " more"), (6, a), (4, c), (4, c.upper()), (4, d), (4, d), (7, c), (8, d), (9, ""), (9, " "), (9, None), (9, ""), (None, a), (None, a)]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, class long, _text long")
+    left = jaccard_join.one_of_each(table)
+    assert left.columns == table.columns
+    got = [(r.doc_id, r.text.lower().removesuffix(" more") if r.text is not None else None) for r in left.collect()]
+    want = [(3, b), (5, a), (4, c), (4, d), (9, ""), (9, " "), (9, None), (None, a), (None, a)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 560)] + [(900, k) for k in range(901, 960)] + [(None, 3), (7, 7)]
