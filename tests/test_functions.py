@@ -1,6 +1,7 @@
 """Text, locale, file, chat and plugin rules."""
 
 import io
+import re
 import zipfile
 from dataclasses import dataclass
 
@@ -49,6 +50,17 @@ def test_messages(spark):
     assert m("en", "status_show_done", other="x") == "Read {name}"
 
 
+def test_messages_of_all_locales(spark):
+    """Each locale has a text of its own, with the same placeholders, for all keys but those that are left to English."""
+    table = {(r.locale, r.key): r.template for r in locale.catalogue(spark).collect()}
+    base = {k: t for (lang, k), t in table.items() if lang == locale.DEFAULT}
+    for lang in set(locale.LOCALES) - {locale.DEFAULT}:
+        own = {k: t for (at, k), t in table.items() if at == lang}
+        assert set(base) - set(own) == {"msg_manual_enable_required"} | ({"status_done"} if lang == "de-DE" else set())
+        assert all(t != base[k] and set(re.findall("{.*?}", t)) == set(re.findall("{.*?}", base[k])) for k, t in own.items())
+    assert one(spark, locale.message(F.lit("fr"), F.lit("msg_created"))) == "La compétence a été sauvegardée"
+
+
 def test_small_functions(spark):
     assert one(spark, text.unquote(F.lit('"'))) == ""
     assert one(spark, text.unquote(F.lit("'a\""))) == "'a\""
