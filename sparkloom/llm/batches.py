@@ -1,24 +1,40 @@
-"""Memory of Python workers: the sizes of Arrow batches, and what tasks give back.
+"""Memory of Python workers: values a slice at a time, and what tasks give back.
 
-A worker holds a batch whole, as Arrow and as Python objects, and so does the JVM beside its heap.  The
-default of 10,000 rows suits narrow rows; whole texts and sets can have hundreds of kilobytes a row.
-The setting belongs to the session and is read when a plan runs, so it stays until the next operator.
+Spark bounds an Arrow batch by rows and by bytes.  Functions turn a batch into Python objects in slices of
+about ``SLICE`` bytes, so a worker holds one batch as Arrow and one slice as objects, whatever the session's
+settings and however long a text is; no setting is changed.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-TEXTS, SETS, VECTORS, BOTH = 300, 100, 2_000, 1_500  # BOTH: a plan that takes texts in and narrow rows later
+SLICE = 4 << 20  # bytes
 
 
-def use(spark: SparkSession, rows: int) -> None:
-    """From now on batches of so many rows."""
-    spark.conf.set(_KEY, str(rows))
+def cuts(sizes: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices of about ``limit`` bytes, one row at least, from the rows' sizes."""
+    if len(sizes):
+        part = (np.cumsum(sizes) - sizes) // limit
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        yield from ((a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+
+def parts(*arrays: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Slices of rows by the bytes of these strings or binaries."""
+    return cuts(sum(pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64) for a in arrays), limit)
+
+
+def texts(array: pa.Array) -> Iterator[list[str | None]]:
+    """The values of an array of strings, slice by slice."""
+    for at, n in parts(array):
+        yield array.slice(at, n).to_pylist()
 
 
 def release() -> None:
@@ -26,4 +42,5 @@ def release() -> None:
 
     Where the C library has no such call nothing happens."""
     with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)

@@ -6,8 +6,8 @@ sorted and hashed; the hash picks a declarative mapping to canonical turns, arra
 
 The template marks a turn as ``<|role|>R<|text|>T<|end|>``.  Inside R and T a backslash goes into every
 control string, after its first character and any backslashes that are there already; one backslash
-comes out again on reading.  So no control string of this template or of the common bracket templates
-is left inside a text, and what is read back equals what went in.
+comes out again on reading.  So no mark of this template, nor ``<s>``, ``</s>``, ``[INST]`` or ``[/INST]``, is
+left inside a text, and what is read back equals what went in.
 """
 
 from __future__ import annotations
@@ -116,7 +116,8 @@ def gather_turns(rows: DataFrame) -> DataFrame:
 
 def format_conversations(records: DataFrame) -> DataFrame:
     """records in any known layout, with layout, turns, formatted and loss_mask; the last three are null
-    for rows of unknown layouts, which stay."""
+    for rows of unknown layouts, which stay.  Columns of these names are replaced, other ones stay; repeated
+    rows are formatted each, and an empty table stays empty."""
     made = canonical_turns(records)
     formatted, mask = format_turns(F.col("turns"))
     return made.withColumns({"formatted": formatted, "loss_mask": mask})

@@ -17,9 +17,18 @@ a shingle), whose Hamming distance never exceeds the symmetric difference.  Surv
 on the sets themselves.  Documents with equal sets are one class throughout.
 
 Lanes that over ``SMALL`` classes share come from large groups of near copies or from passages that many
-documents have.  Their classes are clustered (connected components over one star a lane); within a
-cluster all candidates are compared in blocks of bounded size, by size band, in memory: only links that
-connect something are given out.  So nothing is capped, and rows stay linear in the classes' number.
+documents have.  Their classes are clustered (connected components over one star a lane).  In a cluster
+all classes first meet two representatives of each size band; classes that are connected by then need no
+comparison with each other.  What is left is compared with all others in blocks of bounded size, by size
+band, in memory: only links that connect something are given out.  So nothing is capped; rows stay linear
+in the classes' number, and blocks in that of the classes that no representative connects.
+
+A lane that very many classes share would come to one task.  Each task therefore makes a lane that it has
+more than ``SMALL`` times in a chunk of its own into a star with a salted key, and only the star's hub goes to
+the lane itself, marked, so that whoever else has the lane joins the same cluster.
+
+Classes are told apart by 128 bits of a digest; lanes carry 64 of them, and sets that agree in these only
+are taken apart again before anything is compared.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +56,7 @@ SMALL = 32  # classes in a lane whose pairs are given out
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # of a block in a cluster
 LARGEST = 1 << 40  # bands cover sets up to this size
 NEED = 1 << 16  # band * NEED + need is one integer
+CHUNK = 400_000  # rows of lanes that a task holds, and looks for hot lanes in
 WORDS = 1 << 18  # of 64 bits, in the bitmaps that spare most texts a shuffle
 _U = np.uint64
 
@@ -91,9 +102,10 @@ class Bands:
         return mix(value ^ mix(lane + _U(band << 48))), min(need, NEED - 1)
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """64 bits of a digest of a whole set; equal sets are one class."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a digest of a whole set, as two integers; equal sets are one class."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def parity_bits(hashes: np.ndarray) -> bytes:
@@ -124,56 +136,81 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def _measured(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, class and bits of every row; class and bits are null for empty sets."""
+    """doc_id, n_shingles, class, check and bits of every row; the last three are null for empty sets."""
 
     def measure(parts):
         for batch in parts:
-            rows = []
-            for t in batch["text"]:
-                h = shingle_set(t, shingle)
-                rows.append((len(h), class_of(h), parity_bits(h)) if len(h) else (0, None, None))
-            n, c, bits = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_shingles": pd.array(n, "int64"), "class": pd.array(c, "Int64"), "bits": pd.Series(bits, dtype=object)})
+            ids, texts = batch.columns
+            for at, n in batches.parts(texts):
+                rows = []
+                for t in texts.slice(at, n).to_pylist():
+                    h = shingle_set(t, shingle)
+                    rows.append((len(h), *class_of(h), parity_bits(h)) if len(h) else (0, None, None, None))
+                made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), *made], ["doc_id", "n_shingles", "class", "check", "bits"])
         batches.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(measure, f"doc_id {kind}, n_shingles long, class long, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n_shingles long, class long, check long, bits binary")
 
 
-def _lanes(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
-    """key, class and info (band and need); a task gives out each class once."""
+LANE = "key long, class long, info int"
+
+
+def _lanes(docs: DataFrame, shingle: int, bands: Bands, small: int) -> DataFrame:
+    """key, class and info (band and need, negative for hubs of hot lanes); a task gives out each class once."""
 
     def sketch(parts):
         seen: set[int] = set()
+        keys, classes, infos, held = [], [], [], 0
+
+        def flush():
+            made = salted(np.concatenate(keys), np.concatenate(classes), np.concatenate(infos), small)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "class", "info"])
+
         for batch in parts:
-            keys, classes, infos, held = [], [], [], 0
-            for t in batch["text"]:
-                h = shingle_set(t, shingle)
-                if not len(h) or (c := class_of(h)) in seen:
-                    continue
-                seen.add(c)
-                for band in bands.of(len(h)):
-                    own, need = bands.keys(h, band)
-                    keys.append(own.view(np.int64))
-                    classes.append(np.full(len(own), c, np.int64))
-                    infos.append(np.full(len(own), band * NEED + need, np.int32))
-                    held += len(keys[-1])
-                if held > 100_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes), "info": np.concatenate(infos)})
-                    keys, classes, infos, held = [], [], [], 0
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "class": np.concatenate(classes), "info": np.concatenate(infos)})
-        seen.clear()
+            for texts in batches.texts(batch.column(0)):
+                for t in texts:
+                    h = shingle_set(t, shingle)
+                    if not len(h) or (c := class_of(h)[0]) in seen:
+                        continue
+                    seen.add(c)
+                    for band in bands.of(len(h)):
+                        own, need = bands.keys(h, band)
+                        keys.append(own.view(np.int64))
+                        classes.append(np.full(len(own), c, np.int64))
+                        infos.append(np.full(len(own), band * NEED + need, np.int32))
+                        held += len(own)
+                    if held > CHUNK:
+                        yield flush()
+                        keys, classes, infos, held = [], [], [], 0
+        if held:
+            yield flush()
         batches.release()
 
-    return docs.select("text").mapInPandas(sketch, LANE)
+    return docs.select("text").mapInArrow(sketch, LANE)
 
 
-LANE = "key long, class long, info int"
+def salted(key: np.ndarray, cls: np.ndarray, info: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a chunk with hot keys salted: a key of more than ``small`` rows becomes a key of this chunk,
+    named after its first row, the hub.  The hub stays with the old key too; both its rows have a negative info."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    if not (size > small).any():
+        return key, cls, info
+    run = np.repeat(np.arange(len(first)), size)
+    hot = (size > small)[run]
+    rows, hub = order[hot], order[first[run[hot]]]
+    hubs = order[first[size > small]]
+    new, marked = key.copy(), info.copy()
+    new[rows] = mix(key[rows].view(_U) ^ mix(cls[hub].view(_U))).view(np.int64)
+    marked[hubs] = -info[hubs]
+    return np.r_[new, key[hubs]], np.r_[cls, cls[hubs]], np.r_[marked, marked[hubs]]
 
 
 def shared_rows(parts):
-    """Of rows sorted by (key, class), those whose key has more than one class, each once.  Keeps one row
+    """Of rows sorted by (key, class, info), those whose key has more than one class, each once.  Keeps one row
     between batches, the last, which may turn out to share its key."""
     last, given = None, False
     for batch in parts:
@@ -196,9 +233,9 @@ def shared_rows(parts):
 
 
 def bucket_pairs(parts, small: int = SMALL):
-    """(a, b, info, large) from rows sorted by (key, class): all pairs of a key with up to ``small`` classes,
-    with the larger info of both, else a star from its first class, marked large.  Keeps at most
-    ``small`` rows between batches."""
+    """(a, b, info, large) from rows sorted by (key, class, info): all pairs of a key with up to ``small`` classes
+    and no marked one, with the larger info of both, else a star from its first class, marked large.  Keeps
+    at most ``small`` rows between batches."""
     empty = np.zeros(0, np.int64)
     held_key, held, held_info, hub = None, empty, empty, None
     for batch in parts:
@@ -206,12 +243,16 @@ def bucket_pairs(parts, small: int = SMALL):
         if not len(key):
             continue
         out_a, out_b, out_info, out_large = [], [], [], []
+
+        def give(a, b, i, large):
+            out_a.append(a)  # noqa: B023
+            out_b.append(b)  # noqa: B023
+            out_info.append(np.abs(i))  # noqa: B023
+            out_large.append(np.full(len(b), large))  # noqa: B023
+
         if hub is not None:  # a large key that began before
             own = int(np.searchsorted(key != held_key, True))
-            out_a.append(np.full(own, hub))
-            out_b.append(cls[:own])
-            out_info.append(info[:own])
-            out_large.append(np.ones(own, bool))
+            give(np.full(own, hub), cls[:own], info[:own], True)
             key, cls, info = key[own:], cls[own:], info[own:]
             if len(key):
                 hub = None
@@ -223,6 +264,7 @@ def bucket_pairs(parts, small: int = SMALL):
             key, cls, info = key[new], cls[new], info[new]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[first, len(key)])
+            big = (size > small) | np.logical_or.reduceat(info < 0, first)
             run = np.repeat(np.arange(len(first)), size)
             held_key, held = key[-1], empty
             open_ = len(first) - 1
@@ -232,28 +274,23 @@ def bucket_pairs(parts, small: int = SMALL):
                 cls, info, run = cls[keep], info[keep], run[keep]
             else:
                 hub = cls[first[-1]]
-            big = size > small
-            if big.any():
-                at = np.flatnonzero(big[run])
-                out_a.append(cls[first[run[at]]])
-                out_b.append(cls[at])
-                out_info.append(info[at])
-                out_large.append(np.ones(len(at), bool))
+            at = np.flatnonzero(big[run])
+            if len(at):
+                give(cls[first[run[at]]], cls[at], info[at], True)
             at = np.flatnonzero(~big[run])
             for step in range(1, small):
                 at = at[at + step < len(run)]
                 at = at[run[at] == run[at + step]]
                 if not len(at):
                     break
-                out_a.append(cls[at])
-                out_b.append(cls[at + step])
-                out_info.append(np.maximum(info[at], info[at + step]))
-                out_large.append(np.zeros(len(at), bool))
+                give(cls[at], cls[at + step], np.maximum(info[at], info[at + step]), False)
         if out_a:
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "info": np.concatenate(out_info).astype(np.int32), "large": np.concatenate(out_large)})
     if hub is None and len(held) > 1:
-        i, j = np.triu_indices(len(held), 1)
-        yield pd.DataFrame({"a": held[i], "b": held[j], "info": np.maximum(held_info[i], held_info[j]).astype(np.int32), "large": np.zeros(len(i), bool)})
+        large = bool((held_info < 0).any())
+        i, j = (np.zeros(len(held), int), np.arange(len(held))) if large else np.triu_indices(len(held), 1)
+        info = np.abs(held_info[j]) if large else np.maximum(held_info[i], held_info[j])
+        yield pd.DataFrame({"a": held[i], "b": held[j], "info": info.astype(np.int32), "large": np.full(len(j), large)})
 
 
 class _Forest:
@@ -271,9 +308,10 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def block_links(sets: list[np.ndarray], sides: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], sides: np.ndarray, labels: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that connect all that is linked among ``sets``, between the two sides (or, if there is one
-    side only, within it).  Parity bits of all are compared as one matrix product."""
+    side only, within it); sets of one label are connected already.  Parity bits of all are compared as
+    one matrix product."""
     n = np.array([len(s) for s in sets])
     width = 1 << min(13, max(8, int(2 * n.max() - 1).bit_length()))
     sign = np.ones((len(sets), width), np.float32)
@@ -281,12 +319,14 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, threshold: int) -> li
         sign[i] -= 2 * (np.bincount((h & _U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.float32)
     distance = (width - sign @ sign.T) / 2
     most = np.minimum((100 - threshold) * (n[:, None] + n) // (100 + threshold), width)
-    near = (distance <= most) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n))
+    near = (distance <= most) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n)) & (labels[:, None] != labels)
     if sides.any() and not sides.all():
         near &= sides[:, None] != sides
     i, j = np.nonzero(np.triu(near, 1))
     order = np.argsort(distance[i, j], kind="stable")
     forest, out = _Forest(len(sets)), []
+    for a, b in zip(*_runs(labels), strict=True):
+        forest.join(a, b)
     for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
         if forest.root(a) != forest.root(b) and linked(sets[a], sets[b], threshold):
             forest.join(a, b)
@@ -294,6 +334,13 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, threshold: int) -> li
     return out
 
 
+def _runs(labels: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of neighbours among equal labels."""
+    order = np.argsort(labels, kind="stable")
+    at = np.flatnonzero(labels[order][1:] == labels[order][:-1])
+    return order[at].tolist(), order[at + 1].tolist()
+
+
 def maybe_in(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """table with ``_maybe``: false only where the column's value is surely not among ``wanted``'s.
 
@@ -307,80 +354,130 @@ def maybe_in(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return out.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))).drop("_word", "_bits")
 
 
+def _sides(pairs: DataFrame, facts: DataFrame, key: str = "id") -> DataFrame:
+    """pairs (a, b) with what facts has beside its key for each, under its name and ``_a`` or ``_b``."""
+    for s in "ab":
+        pairs = pairs.join(facts.select(F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in facts.columns if c != key]), s)
+    return pairs
+
+
 def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measured rows, links, classes): links (a, b) between classes connect exactly what is linked."""
-    bands, spark = Bands(threshold), docs.sparkSession
-    batches.use(spark, batches.TEXTS)
+    """(measured rows, links, classes): links (a, b) between ids of classes connect exactly what is linked."""
+    bands = Bands(threshold)
     measured = work.write(_measured(docs, shingle), "measured")
-    classes = work.write(measured.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
+    classes = measured.where("class is not null").groupBy("class", "check").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    classes = work.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    batches.use(spark, batches.BOTH)
-    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "class")
-    shared = work.write(by_key(_lanes(docs, shingle, bands)).mapInPandas(shared_rows, LANE), "shared")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "class", "info")
+    shared = work.write(by_key(_lanes(docs, shingle, bands, small)).mapInPandas(shared_rows, LANE), "shared")
     enough = F.col("lanes") >= F.pmod("info", F.lit(NEED))
-    alive = shared.groupBy("class", "info").agg(F.count("*").alias("lanes")).where(enough).select("class", "info")
-    found = by_key(shared.join(alive, ["class", "info"])).mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, info int, large boolean")
+    alive = shared.groupBy("class", F.abs("info").alias("info")).agg(F.count("*").alias("lanes")).where(enough).select("class", F.col("info").alias("_info"))
+    live = shared.where("info > 0").join(alive.withColumnRenamed("_info", "info"), ["class", "info"], "left_semi").unionByName(shared.where("info < 0"))
+    found = by_key(live).mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, info int, large boolean")
     found = work.write(found, "found")
-    batches.use(spark, batches.TEXTS)
     met = found.where("not large").groupBy("a", "b", F.floor(F.col("info") / NEED).alias("band")).agg(F.count("*").alias("lanes"), F.max("info").alias("info"))
-    pairs = met.where(enough).select("a", "b").distinct()
+    pairs = _sides(met.where(enough).select("a", "b").distinct(), classes.select("class", "id", "n", "bits"), "class")
+    facts = classes.select("id", "n", "bits")
+    banded = None
+    if not found.where("large").isEmpty():
+        clusters = connected_components(found.where("large").select("a", "b"), work).withColumnRenamed("id", "class")
+        band = F.floor(F.log(F.col("n").cast("double")) / _width(threshold)).cast("int")
+        banded = work.write(clusters.join(classes.select("class", "id", "n"), "class").select("id", "component", "n", band.alias("band")), "clusters")
+        pairs = pairs.select("id_a", "id_b", "n_a", "n_b", "bits_a", "bits_b").unionByName(_sides(_star(banded), facts).withColumnsRenamed({"a": "id_a", "b": "id_b"}))
 
     def near(parts):
         for x in parts:
-            keep = [(d := most_different(n, m, threshold)) >= 0 and hamming(p, q) <= d for n, m, p, q in zip(x.n_a, x.n_b, x.bits_a, x.bits_b, strict=True)]
-            yield x.loc[keep, ["a", "b"]]
-
-    side = lambda s: classes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    pairs = work.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(near, "a long, b long"), "pairs")
-    clusters = work.write(connected_components(found.where("large").select("a", "b"), work), "clusters")
+            keep = []
+            for at, n in batches.parts(x["bits_a"], x["bits_b"]):
+                y = x.slice(at, n).to_pydict()
+                keep += [(d := most_different(i, j, threshold)) >= 0 and hamming(p, q) <= d for i, j, p, q in zip(y["n_a"], y["n_b"], y["bits_a"], y["bits_b"], strict=True)]
+            yield x.select(["id_a", "id_b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        batches.release()
 
-    # The sets of the classes that are left: their first documents, read again.
-    left = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select(F.col("id").alias("class"))).distinct()
-    wanted = left.join(classes, "class").select("class", "first_id")
+    pairs = work.write(pairs.select("id_a", "id_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long").distinct(), "pairs")
+    left = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = work.write(_sets(docs, (left.unionByName(banded.select("id")) if banded else left).distinct().join(classes, "id").select("id", "class", "check", "first_id"), shingle), "sets")
 
-    def again(parts):
+    def verified(parts):
         for x in parts:
-            rows = [(c, h.tobytes()) for c, h in ((c, shingle_set(t, shingle)) for c, t in zip(x["class"], x["text"], strict=True)) if len(h) and class_of(h) == c]
-            yield pd.DataFrame(rows, columns=["class", "set"])
+            keep = []
+            for at, n in batches.parts(x["set_a"], x["set_b"]):
+                y = x.slice(at, n)
+                keep += [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(y["set_a"].to_pylist(), y["set_b"].to_pylist(), strict=True)]
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        batches.release()
 
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text").where("text is not null")
-    texts = maybe_in(texts, "first_id", wanted).where("_maybe").drop("_maybe")
-    sets = work.write(texts.join(wanted, texts["first_id"].eqNullSafe(wanted["first_id"])).select("class", "text").mapInPandas(again, "class long, set binary").dropDuplicates(["class"]), "sets")
+    links = work.write(_sides(pairs, sets).select("a", "b", "set_a", "set_b").mapInArrow(verified, "a long, b long"), "links")
+    if banded is None:
+        return measured, links, classes
+    labels = work.write(connected_components(links, work), "labels")
+    more = _cluster_links(banded, labels, sets, threshold, block_sets)
+    return measured, work.write(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "more_links"), classes
 
-    batches.use(spark, batches.SETS)
 
-    def verified(parts):
-        for x in parts:
-            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(x.set_a, x.set_b, strict=True)]
-            yield x.loc[keep, ["a", "b"]]
-        batches.release()
+def _width(threshold: int) -> float:
+    """The logarithm of 100 / threshold, and a little more: links stay within a band of that width or reach the next."""
+    return 1.000001 * math.log(100 / threshold) if threshold < 100 else 1.0
+
 
-    side = lambda s: sets.select(F.col("class").alias(s), F.col("set").alias(f"set_{s}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verified, "a long, b long")
-    return measured, work.write(links.unionByName(_cluster_links(clusters, classes, sets, threshold, block_sets)), "links"), classes
+def _star(banded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class of a cluster with two representatives of its size band and of the next ones."""
+    place = F.struct(F.xxhash64("id").alias("h"), "id")
+    chosen = banded.groupBy("component", "band").agg(F.array(F.min(place)["id"], F.max(place)["id"]).alias("reps"))
+    chosen = chosen.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.explode("reps").alias("rep"))
+    met = banded.join(chosen, ["component", "band"]).where(F.col("id") != F.col("rep"))
+    return met.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
-def _cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, block_sets: int) -> DataFrame:
-    """Links within clusters.  A cluster is cut by size (each band 100 / threshold wide, so links stay
-    within a band or reach the next) and bands into blocks; a task compares two blocks."""
-    width = 1.000001 * math.log(100 / threshold) if threshold < 100 else 1.0
-    banded = clusters.select(F.col("id").alias("class"), "component").join(classes.select("class", "n"), "class").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    blocks = banded.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    near = blocks.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "blocks").alias("other"))
-    near = near.groupBy("component", "band").agg(F.collect_list("other").alias("others"))  # three at most
-    own = banded.join(blocks, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    me = F.struct(F.col("band").alias("band"), F.col("block").alias("block"))
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """id and set of the wanted classes (id, class, check, first_id): their first documents, read again and
+    known by their digests, so ids that repeat, or are null, meet only the classes of their own texts."""
 
-    def meets(o):
-        return F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda k: F.struct(F.least(me, F.struct(o["band"].alias("band"), k.alias("block"))).alias("low"), F.greatest(me, F.struct(o["band"].alias("band"), k.alias("block"))).alias("high")))
+    def again(parts):
+        seen: set[tuple[int, int]] = set()
+        for x in parts:
+            for texts in batches.texts(x["text"]):
+                rows = []
+                for t in texts:
+                    h = shingle_set(t, shingle)
+                    if len(h) and (c := class_of(h)) not in seen:
+                        seen.add(c)
+                        rows.append((*c, h.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["class", "check", "set"])
+        batches.release()
 
-    placed = own.join(near, ["component", "band"]).select("class", "component", me.alias("me"), F.explode(F.flatten(F.transform("others", meets))).alias("m"))
-    placed = placed.select("class", "component", "m.low", "m.high", (F.col("me") == F.col("m.high")).alias("upper")).join(sets, "class")
+    texts = maybe_in(docs.select("doc_id", "text").where("text is not null"), "doc_id", wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id")))
+    made = texts.where("_maybe or doc_id is null").select("text").mapInArrow(again, "class long, check long, set binary")
+    return maybe_in(made, "class", wanted).where("_maybe").drop("_maybe").join(wanted.select("id", "class", "check"), ["class", "check"]).select("id", "set").dropDuplicates(["id"])
+
+
+def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, block_sets: int) -> DataFrame:
+    """Links within clusters between classes that aren't connected yet (labels name what is).  A cluster is cut
+    by size band; a band's most frequent label is its main one, and its classes with and without that
+    are cut into blocks.  A task compares two blocks, of one band or neighbours; two of one main label needn't meet."""
+    own = banded.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    common = own.groupBy("component", "band", "label").agg(F.count("*").alias("k")).groupBy("component", "band").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    own = own.join(common, ["component", "band"]).withColumn("other", F.col("label") != F.col("main"))
+    cells = own.groupBy("component", "band", "main", "other").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    near = cells.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "main", "other", "blocks").alias("cell"))
+    near = near.groupBy("component", "band").agg(F.collect_list("cell").alias("cells"))  # six at most
+    own = own.join(cells.drop("main"), ["component", "band", "other"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    place = lambda b, o, k: F.struct(b.alias("band"), o.alias("other"), k.alias("block"))
+    me = place(F.col("band"), F.col("other"), F.col("block"))
+
+    def meets(c):
+        there = lambda k: place(c["band"], c["other"], k)
+        return F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda k: F.struct(F.least(me, there(k)).alias("low"), F.greatest(me, there(k)).alias("high")))
+
+    apart = F.filter("cells", lambda c: F.col("other") | c["other"] | (c["main"] != F.col("main")))
+    placed = own.join(near, ["component", "band"]).select("id", "component", "label", me.alias("me"), F.explode(F.flatten(F.transform(apart, meets))).alias("m"))
+    placed = placed.select("id", "component", "label", "m.low", "m.high", (F.col("me") == F.col("m.high")).alias("upper")).join(sets, "id")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.frombuffer(s, np.uint64) for s in x["set"]]
-        out = block_links(hashes, x["upper"].to_numpy(bool), threshold) if len(x) > 1 else []
-        ids = x["class"].to_numpy()
+        out = block_links(hashes, x["upper"].to_numpy(bool), x["label"].to_numpy(), threshold) if len(x) > 1 else []
+        ids = x["id"].to_numpy()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in out], columns=["a", "b"], dtype="int64")
 
     return placed.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
@@ -400,18 +497,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 
 def _found(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(measured rows, lookup): component, named by a class, and least_id of each class."""
+    """(measured rows, lookup): component, named by one of its classes, and least_id of each class."""
     measured, links, classes = similar_classes(docs, threshold, shingle, small, block_sets, work)
-    parts = work.write(connected_components(links, work), "components").withColumnRenamed("id", "class")
-    own = classes.select("class", "first_id").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = work.write(connected_components(links, work), "components")
+    own = classes.select("id", "class", "check", "first_id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = own.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    return measured, own.join(least, "component").select("class", "component", "least_id")
+    return measured, own.join(least, "component").select("class", "check", "component", "least_id")
 
 
 def _named(measured: DataFrame, lookup: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each measured row."""
-    lookup = lookup.select("class", "least_id")
-    some = measured.where("class is not null").select("doc_id", "n_shingles", "class").join(lookup, "class", "left")
+    lookup = lookup.select("class", "check", "least_id")
+    some = measured.where("class is not null").select("doc_id", "n_shingles", "class", "check").join(lookup, ["class", "check"], "left")
     none = measured.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("least_id"))
     return some.select("doc_id", "n_shingles", "least_id").unionByName(none).withColumnRenamed("least_id", "component_id")
 
@@ -426,7 +523,7 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
     work = Workspace(docs.sparkSession)
     measured, lookup = _found(docs, threshold, shingle, SMALL, BLOCK_SETS, work)
     judged = work.write(_named(measured, lookup).where("doc_id is not null").select("doc_id", "component_id"), "judged")
-    own, back = set_aside(docs, ["_word", "_bits", "_maybe", "_text", "_class", "_component", "_least", "_place"])
+    own, back = set_aside(docs, ["_word", "_bits", "_maybe", "_told", "_text", "_class", "_check", "_component", "_least", "_place"])
     named = own.where("doc_id is not null")
     gone, firsts = judged.where("doc_id <> component_id").select("doc_id"), judged.where("doc_id = component_id").select("doc_id").distinct()
     repeats = work.write(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
@@ -444,16 +541,17 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
 def _one_of_repeats(rows: DataFrame, lookup: DataFrame, shingle: int) -> DataFrame:
     """Of rows whose ids repeat: one of each id and component that the id names, one of each text without words."""
 
-    @F.pandas_udf("long")
-    def classes(texts: pd.Series) -> pd.Series:
-        sets = (shingle_set(t, shingle) for t in texts)
-        told = pd.Series([class_of(h) if len(h) else None for h in sets], dtype="Int64")
+    @F.arrow_udf("class long, check long")
+    def classes(texts: pa.Array) -> pa.Array:
+        told = []
+        for some in batches.texts(texts):
+            told += [dict(zip(("class", "check"), class_of(h), strict=True)) if len(h) else {"class": None, "check": None} for h in (shingle_set(t, shingle) for t in some)]
         batches.release()
-        return told
+        return pa.array(told, pa.struct([("class", pa.int64()), ("check", pa.int64())]))
 
-    batches.use(rows.sparkSession, batches.TEXTS)
-    lookup = lookup.select(F.col("class").alias("_class"), F.col("component").alias("_component"), F.col("least_id").alias("_least"))
-    told = rows.withColumn("_class", classes("text")).withColumn("_text", F.xxhash64("text")).join(lookup, "_class", "left")
+    lookup = lookup.select(F.col("class").alias("_class"), F.col("check").alias("_check"), F.col("component").alias("_component"), F.col("least_id").alias("_least"))
+    told = rows.withColumn("_told", classes("text")).withColumns({"_class": F.col("_told.class"), "_check": F.col("_told.check"), "_text": F.md5(F.col("text").cast("binary"))})
+    told = told.drop("_told").join(lookup, ["_class", "_check"], "left")
     first = told.where(F.col("_class").isNull() | (F.col("doc_id") == F.col("_least")))
     order = Window.partitionBy("doc_id", "_component", F.when(F.col("_class").isNull(), F.struct(F.col("text").isNull(), "_text"))).orderBy("_text")
     return first.withColumn("_place", F.row_number().over(order)).where("_place = 1").select([f"`{c}`" for c in rows.columns])

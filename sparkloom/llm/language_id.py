@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -167,12 +167,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
 
     def vectors(parts):
+        schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("i", pa.int32()), ("x", pa.binary())])
         for batch in parts:
-            made = [(r.lang, r.k, i, x.tobytes()) for r in batch.itertuples() for i, x in enumerate(_examples(r.text))]
-            yield pd.DataFrame(made, columns=["lang", "k", "i", "x"])
+            for at, n in batches.parts(batch["text"], limit=batches.SLICE // 16):
+                made = [{"lang": r["lang"], "k": r["k"], "i": i, "x": x.tobytes()} for r in batch.slice(at, n).to_pylist() for i, x in enumerate(_examples(r["text"]))]
+                yield pa.RecordBatch.from_pylist(made, schema)
 
-    batches.use(labelled.sparkSession, batches.TEXTS)
-    got = chosen.select("lang", "k", "text").mapInPandas(vectors, "lang string, k int, i int, x binary").toPandas()
+    got = chosen.select("lang", "k", "text").mapInArrow(vectors, "lang string, k int, i int, x binary").toPandas()
     got = got.sort_values(["lang", "k", "i"])
     if got.empty:
         return LanguageModel(None, {})
@@ -185,12 +186,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null texts, and texts without a letter, get ``und`` and 0.  Equal texts get equal answers.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        told = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(texts: pa.Array) -> pa.Array:
+        told = [dict(zip(("lang_pred", "score"), model.predict(t), strict=True)) for some in batches.texts(texts) for t in some]
         batches.release()
-        return told
+        return pa.array(told, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    batches.use(docs.sparkSession, batches.TEXTS)
     kept, back = set_aside(docs.drop("lang_pred", "score"), ["_lang"])
     return back(kept.withColumn("_lang", predicted("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_lang.lang_pred", "_lang.score"))

@@ -9,7 +9,8 @@ the last sequence has padding.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .workspace import Workspace
 
 LENGTH = 2048
 END_ID = 1
+BROADCAST = 200_000  # scan tasks (16 bytes each) whose places are broadcast; more are joined by a shuffle
 
 
 def token_rows(docs: DataFrame, tokenizer: Tokenizer, end_id: int = END_ID) -> DataFrame:
@@ -31,15 +33,17 @@ def token_rows(docs: DataFrame, tokenizer: Tokenizer, end_id: int = END_ID) -> D
     def encoded(parts):
         task, at, encoder = TaskContext.get().partitionId(), 0, tokenizer.encoder
         for batch in parts:
-            ids = [encoder.encode(t) + end for t in batch["text"]]
-            sizes = pd.Series([len(x) // 4 for x in ids], dtype="int64")
-            starts = at + sizes.cumsum() - sizes
-            at += int(sizes.sum())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "ids": ids, "task": task, "at": starts})
+            own, texts = batch.columns
+            for k, n in batches.parts(texts):
+                ids = [encoder.encode(t) + end for t in texts.slice(k, n).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                starts = at + sizes.cumsum() - sizes
+                at += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([own.slice(k, n), pa.array(ids, pa.binary()), pa.array(np.full(n, task, np.int32)), pa.array(starts)], ["doc_id", "ids", "task", "at"])
         batches.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(encoded, f"doc_id {kind}, ids binary, task int, at long")
+    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, task int, at long")
 
 
 def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -48,12 +52,11 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end_id: in
     Repeated rows are packed each; null ids stay null.  An empty table gives no pieces.
     """
     work = Workspace(docs.sparkSession)
-    batches.use(docs.sparkSession, batches.TEXTS)
     rows = work.write(token_rows(docs, tokenizer, end_id), "tokens", "zstd")
     size = (F.octet_length("ids") / 4).cast("long")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
-    tasks = rows.groupBy("task").agg(F.sum(size).alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = rows.join(F.broadcast(tasks), "task").select("doc_id", "ids", size.alias("doc_tokens"), (F.col("first") + F.col("at")).alias("place"))
+    tasks = work.write(rows.groupBy("task").agg(F.sum(size).alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "tasks")
+    placed = rows.join(F.broadcast(tasks) if tasks.count() <= BROADCAST else tasks, "task").select("doc_id", "ids", size.alias("doc_tokens"), (F.col("first") + F.col("at")).alias("place"))
     window = F.sequence(F.expr(f"place div {length}"), F.expr(f"(place + doc_tokens - 1) div {length}"))
 
     def piece(w):

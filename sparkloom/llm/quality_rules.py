@@ -11,10 +11,13 @@ Two scans of the texts, no shuffle of texts, no join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import set_aside
+from .workspace import Workspace
 
 #: Frequent function words of the reference languages.
 COMMON_WORDS = {
@@ -51,29 +54,27 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
+def _repeats(docs: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """Adds ``_repeats``: words in 3-word windows that the text has twice or more.
 
-    A window is a 64-bit hash shifted left by as many bits as positions need, with its position in the
-    low bits; a sort of primitives then brings equal windows together.  Positions whose neighbour in
-    that order has the same hash are repeated; a covered word counts once.  Texts with so many words
-    that under 44 bits of the hash remain are ordered by (hash, position) structs instead.
+    First pass: a window is a hash shifted left by as many bits as positions need, with its position in the
+    low bits; a sort of primitives brings equal windows together, and equal neighbours may be repeated.
+    Second pass: these few are sorted by their words, which decide.  A covered word counts once.
     """
     n = F.size("_words")
     bits = F.length(F.bin(n.cast("long")))
     sequence = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    window = lambda i: hashed(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     docs = docs.withColumn("_bits", bits).withColumn("_at", sequence)
-    packed = F.transform("_at", lambda i: F.call_function("shiftleft", window(i), F.col("_bits")).bitwiseOR(i.cast("long")))
-    docs = docs.withColumn("_sorted", F.when(F.col("_bits") <= 20, F.sort_array(packed)))
-    docs = docs.withColumn("_wide", F.when(F.col("_bits") > 20, F.sort_array(F.transform("_at", lambda i: F.struct(window(i).alias("h"), i.alias("i"))))))
-    equal = lambda x, i: F.coalesce(F.call_function("shiftright", x.bitwiseXOR(F.get("_sorted", i + 1)), F.col("_bits")) == 0, F.lit(False))
-    docs = docs.withColumn("_pairs", F.filter(F.transform("_sorted", lambda x, i: F.when(equal(x, i), i)), lambda i: i.isNotNull()))
-    twice = F.transform(F.array_union("_pairs", F.transform("_pairs", lambda i: i + 1)), lambda i: F.get("_sorted", i))
+    docs = docs.withColumn("_sorted", F.sort_array(F.transform("_at", lambda i: F.call_function("shiftleft", window(i), F.col("_bits")).bitwiseOR(i.cast("long")))))
+    equal = lambda x, i: F.coalesce(F.call_function("shiftright", x.bitwiseXOR(F.get("_sorted", i)), F.col("_bits")) == 0, F.lit(False))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    near = lambda x, i: F.coalesce(F.get("_wide", i)["h"] == x["h"], F.lit(False))
-    wide = F.transform(F.filter("_wide", lambda x, i: near(x, i + 1) | near(x, i - 1)), lambda x: x["i"].cast("long"))
-    docs = docs.withColumn("_where", F.sort_array(F.when(F.col("_bits") <= 20, F.transform(twice, lambda x: x.bitwiseAND(low))).otherwise(wide)))
+    docs = docs.withColumn("_pairs", F.filter("_sorted", lambda x, i: equal(x, i + 1) | equal(x, i - 1)))
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    said = lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))  # noqa: E731  # words have no spaces
+    docs = docs.withColumn("_wide", F.sort_array(F.transform("_pairs", lambda x: F.struct(said(place(x)).alias("w"), place(x).alias("i")))))
+    same = lambda x, i: F.coalesce(F.get("_wide", i)["w"] == x["w"], F.lit(False))
+    docs = docs.withColumn("_where", F.sort_array(F.transform(F.filter("_wide", lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"].cast("long"))))
     covered = F.transform("_where", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_where", i + 1) - p, F.lit(3).cast("long"))))
     return docs.withColumn("_repeats", F.coalesce(_sum(covered), F.lit(0).cast("long"))).drop("_bits", "_at", "_sorted", "_wide", "_where", "_pairs")
 
@@ -182,14 +183,17 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    # A filter on kept must stay above the projections that kept is made in: pushed below them, it would
-    # hold every expression written out in place again and again.  A row number, always >= 0, keeps it there.
     near = F.coalesce(F.col("divergence") <= max_distance, F.lit(True))
-    out = out.withColumn("kept", ~F.col("base_failed") & near & (F.monotonically_increasing_id() >= 0))
+    out = out.withColumn("kept", ~F.col("base_failed") & near)
     return back(out.drop(*WORKING))
 
 
 def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their own columns."""
+    """The rows of docs that ``judge`` keeps, with their own columns; null texts, empty ones and repeated rows
+    as told there.
+
+    The verdicts are written before they are filtered: a filter on ``kept`` would be pushed below the projections that it
+    is made in, and hold every expression written out in place again and again."""
     own, back = set_aside(docs, ["kept", *MEASURES])
-    return back(judge(own, max_distance).where("kept").select([f"`{c}`" for c in own.columns]))
+    judged = judge(own, max_distance).select(*[f"`{c}`" for c in own.columns], "kept")
+    return back(Workspace(docs.sparkSession).write(judged, "judged").where("kept").select([f"`{c}`" for c in own.columns]))

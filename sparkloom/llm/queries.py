@@ -26,8 +26,8 @@ def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Rows that no model may learn from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows that no model may learn from; a row without an id is one."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.where(~F.coalesce(held_out(), F.lit(True))))
+    model = language_id.fit(docs.where(~held_out()))
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -52,7 +52,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], "conv_id long, turn long, role string, text string")
+    added = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{INJECTION}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS added(turn, role)")
     made = chat_format.format_conversations(chat_format.gather_turns(rows.unionByName(added)))
     read = made.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("read"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     turns = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -84,6 +84,8 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes are a stand-in: no table labels pages, so ``labels.quality`` of the document with a page's number
+    serves as that page's."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     judged = url_filters.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,16 +127,19 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """
     scanner, base = _scanner(), {r.kind for r in BASE}
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def found(texts: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([*((f"n_{r.kind}", pa.int64()) for r in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+
+    @F.arrow_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    def found(texts: pa.Array) -> pa.Array:
         rows = []
-        for spans in scanner.spans(texts.tolist()):
-            kinds = [k for k, _, _ in spans]
-            digest = hashlib.sha256(joined([s for s in spans if s[0] in base]).encode()).hexdigest()
-            rows.append((*(kinds.count(r.kind) for r in BASE), digest, joined(spans)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for some in batches.texts(texts):
+            for spans in scanner.spans(some):
+                kinds = [k for k, _, _ in spans]
+                digest = hashlib.sha256(joined([s for s in spans if s[0] in base]).encode()).hexdigest()
+                rows.append({f"n_{r.kind}": kinds.count(r.kind) for r in BASE} | {"base_sha256": digest, "spans": joined(spans)})
+        batches.release()
+        return pa.array(rows, kind)
 
-    batches.use(docs.sparkSession, batches.TEXTS)
     kept, back = set_aside(docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans"), ["_found"])
     return back(kept.withColumn("_found", found("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_found.*"))
 
@@ -155,12 +158,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in ``text`` replaced by their kind; a null text stays null."""
     scanner = _scanner()
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        out = pd.Series([redact_text(t, s) if s else t for t, s in zip(values, scanner.spans(values), strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        out = [pa.array([redact_text(t, s) if s else t for t, s in zip(some, scanner.spans(some), strict=True)], pa.string()) for some in batches.texts(texts)]
         batches.release()
-        return out
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    batches.use(docs.sparkSession, batches.TEXTS)
     return docs.withColumn("text", cleaned("text"))

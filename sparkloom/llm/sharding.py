@@ -11,9 +11,12 @@ links, fills the free places.  Small keys go there whole; at most one a shard is
 
 Law ``rows``: the counts of any two shards differ by one at most.
 
-The texts are read once.  All later passes move rows of fixed size; they join on the link key with one
-row a key, so adaptive execution can split a key that has a third of all rows, and ranks are taken in
-buckets whose number grows with the table.
+The texts are read once.  All later passes move rows of fixed size.  Large keys, of which there are at most
+``LARGE`` a shard, are joined by broadcast, so a key that has a third of all rows is never shuffled by its
+name; small ones are joined by a shuffle.  Ranks are taken in buckets whose number grows with the table.
+
+Order and chance come from doc_id, text and, for rows that repeat both, their number among these; so the
+result doesn't depend on how the table is split into files and tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ ROUNDS = 8
 STILL = 0.002  # propagation ends when a smaller share of linked documents still moves
 PER_BUCKET = 20_000  # rows that are ranked together
 LARGE = 20  # a key is large if so many of its size fill a shard
+COPIES = 100_000  # rows that repeat an id and its text are numbered in runs of so many
+IDENTITY = ("doc_id", "text_crc32", "link_key", "copy")
 
 
 def facts(docs: DataFrame) -> DataFrame:
@@ -40,6 +45,21 @@ def facts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("link_key"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with ``copy``, the number among rows that are equal, and ``row_id``, a hash of it all."""
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    runs = same.select(*rows.columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("run"))
+    last = F.least(F.col("n") - 1, F.col("run") * COPIES + (COPIES - 1))
+    return runs.select(*rows.columns, F.explode(F.sequence(F.col("run") * COPIES, last)).alias("copy")).withColumn("row_id", F.xxhash64(*IDENTITY))
+
+
+def _joined(rows: DataFrame, one_a_key: DataFrame, large: Column, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row a link_key: its large keys, ``LARGE`` a shard at most, by broadcast."""
+    few = F.broadcast(one_a_key.where(large))
+    rest = rows.join(few.select("link_key"), "link_key", "left_anti").join(one_a_key.where(~large), "link_key", how)
+    return rows.join(few, "link_key").unionByName(rest)
+
+
 def _shares(flow: dict[tuple[int, int], int], load: list[int], quota: list[int]) -> list[float]:
     """The largest share of wished moves into each shard under which no shard passes its quota.
 
@@ -59,18 +79,20 @@ def _fraction(*cols: Column | str) -> Column:
 
 
 def propagate(linked: DataFrame, n_shards: int, quota: list[int], rounds: int, work: Workspace) -> DataFrame:
-    """linked (row_id, link_key, members ...) with ``shard`` after the rounds."""
-    state = linked.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(n_shards)).cast("int"))
+    """linked (row_id, link_key, members ...; row_id a hash) with ``shard`` after the rounds."""
+    state = linked.withColumn("shard", F.pmod("row_id", F.lit(n_shards)).cast("int"))
     free, last = max(1, min(quota)), None
     large, open_ = F.col("members") * LARGE > free, [True] * n_shards
     for k in range(rounds):
         room = large | F.get(F.array(*[F.lit(x) for x in open_]), F.col("shard"))
-        cells = state.groupBy("link_key", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+        cells = work.write(state.groupBy("link_key", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members")), f"cells{k}")
         ranked = F.sort_array(F.collect_list(F.struct(room.alias("room"), "n", F.xxhash64("link_key", "shard", F.lit(k)).alias("tie"), "shard")), asc=False)  # one entry a shard at most
         wide = F.greatest(F.lit(1), F.ceil(F.col("members") / free).cast("int"))
-        targets = cells.groupBy("link_key").agg(ranked.alias("at"), F.max("members").alias("members")).select("link_key", F.transform(F.slice("at", 1, F.least(wide, F.size("at"))), lambda x: x["shard"]).alias("targets"))
+        targets = cells.groupBy("link_key").agg(ranked.alias("at"), F.max("members").alias("members")).select("link_key", "members", F.transform(F.slice("at", 1, F.least(wide, F.size("at"))), lambda x: x["shard"]).alias("targets"))
         want = F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.get("targets", F.pmod(F.xxhash64("row_id", F.lit(k)), F.size("targets")).cast("int")))
-        moves = work.write(state.join(targets, "link_key").withColumn("want", want).drop("targets"), f"moves{k}")
+        met = state.where(large).join(F.broadcast(targets.where(large).drop("members")), "link_key").unionByName(state.where(~large).join(targets.where(~large).drop("members"), "link_key"))
+        moves = work.write(met.withColumn("want", want).drop("targets"), f"moves{k}")
+        work.drop(cells)
         counts = moves.groupBy("shard", "want", large.alias("large")).agg(F.count("*").alias("n")).collect()  # 2 * n_shards squared
         if last is not None:
             work.drop(last)
@@ -144,18 +166,18 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     any equal texts; null ids are allowed.  An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession)
-    base = work.write(facts(docs).withColumn("row_id", F.monotonically_increasing_id()), "facts")
+    base = work.write(_numbered(facts(docs)), "facts")
     total = base.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    groups = base.where(F.col("link_key").isNotNull()).groupBy("link_key").agg(F.count("*").alias("members")).where("members > 1")
+    free, buckets = max(1, min(quota)), max(1, -(-total // PER_BUCKET))
+    large = F.coalesce(F.col("members") * LARGE > free, F.lit(False))
+    groups = work.write(base.where(F.col("link_key").isNotNull()).groupBy("link_key").agg(F.count("*").alias("members")).where("members > 1"), "groups")
     alone = F.coalesce("link_key", F.encode(F.concat(F.lit("-"), F.col("row_id").cast("string")), "UTF-8"))  # null keys would meet in one task
-    rows = work.write(base.withColumn("link_key", alone).join(groups, "link_key", "left"), "rows")
+    rows = work.write(_joined(base.withColumn("link_key", alone), groups, large, "left"), "rows")
     work.drop(base)
     linked = work.write(propagate(rows.where("members is not null"), n_shards, quota, rounds, work), "linked")
 
     # A small key that is still apart gives up all its places and goes, whole, with the rest.
-    free, buckets = max(1, min(quota)), max(1, -(-total // PER_BUCKET))
-    large = F.coalesce(F.col("members") * LARGE > free, F.lit(False))
     shards = linked.where(~large).groupBy("link_key").agg(F.min("shard").alias("low"), F.max("shard").alias("high"))
     apart = work.write(shards.where("low < high").select("link_key"), "apart")
 
@@ -163,7 +185,7 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     placed = linked.join(apart, "link_key", "left_anti").withColumn("bucket", _bucket(buckets, ~large))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.col("start") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("link_key", "row_id")) - 1
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("link_key", "doc_id", "copy")) - 1
     ranked = work.write(placed.join(starts, ["shard", "bucket"]).withColumn("slot", rank.cast("long")).drop("start", "bucket"), "ranked")
     limit = F.get(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard"))
     cut = {r.shard: bytes(r.link_key) for r in ranked.where(~large & (F.col("slot") == limit)).select("shard", "link_key").collect()}  # n_shards rows
@@ -178,7 +200,7 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     rest = rest.withColumn("bucket", _bucket(buckets, F.when(F.col("members").isNull(), 2).when(large, 0).otherwise(1)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = rest.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("link_key", "row_id")) - 1
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("link_key", "doc_id", "copy")) - 1
     rest = work.write(rest.join(starts, "bucket").withColumn("rank", rank.cast("long")).drop("start", "bucket"), "rest")
     pairs = rest.where("members is not null")
     at_ends = pairs.where(~large & F.col("rank").isin(_order(taken, quota)[1])).select("link_key").distinct()

@@ -456,7 +456,7 @@ def test_embeddings(spark):
 
 
 def test_plan_follows_size():
-    assert [embedding_dedup.plan(n)[0] for n in (0, 100, 10**4, 10**6)] == [6, 6, 11, 18]
+    assert [embedding_dedup.plan(n)[0] for n in (0, 100, 10**4, 10**6, 10**9)] == [4, 4, 5, 12, 22]
 
 
 # 10
