@@ -183,8 +183,10 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
+    # A filter on kept that is pushed below the projections which it is made in would hold every expression written out
+    # in place again and again.  Spark neither copies nor moves what isn't deterministic, hence the row number (always >= 0).
     near = F.coalesce(F.col("divergence") <= max_distance, F.lit(True))
-    out = out.withColumn("kept", ~F.col("base_failed") & near)
+    out = out.withColumn("kept", ~F.col("base_failed") & near & (F.monotonically_increasing_id() >= 0))
     return back(out.drop(*WORKING))
 
 
@@ -192,8 +194,7 @@ def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with their own columns; null texts, empty ones and repeated rows
     as told there.
 
-    The verdicts are written before they are filtered: a filter on ``kept`` would be pushed below the projections that it
-    is made in, and hold every expression written out in place again and again."""
+    The verdicts are written before they are filtered, so each text is measured once."""
     own, back = set_aside(docs, ["kept", *MEASURES])
     judged = judge(own, max_distance).select(*[f"`{c}`" for c in own.columns], "kept")
     return back(Workspace(docs.sparkSession).write(judged, "judged").where("kept").select([f"`{c}`" for c in own.columns]))

@@ -85,14 +85,17 @@ def propagate(linked: DataFrame, n_shards: int, quota: list[int], rounds: int, w
     large, open_ = F.col("members") * LARGE > free, [True] * n_shards
     for k in range(rounds):
         room = large | F.get(F.array(*[F.lit(x) for x in open_]), F.col("shard"))
-        cells = work.write(state.groupBy("link_key", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members")), f"cells{k}")
-        ranked = F.sort_array(F.collect_list(F.struct(room.alias("room"), "n", F.xxhash64("link_key", "shard", F.lit(k)).alias("tie"), "shard")), asc=False)  # one entry a shard at most
-        wide = F.greatest(F.lit(1), F.ceil(F.col("members") / free).cast("int"))
-        targets = cells.groupBy("link_key").agg(ranked.alias("at"), F.max("members").alias("members")).select("link_key", "members", F.transform(F.slice("at", 1, F.least(wide, F.size("at"))), lambda x: x["shard"]).alias("targets"))
+
+        def targets(rows: DataFrame) -> DataFrame:
+            cells = rows.groupBy("link_key", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+            ranked = F.sort_array(F.collect_list(F.struct(room.alias("room"), "n", F.xxhash64("link_key", "shard", F.lit(k)).alias("tie"), "shard")), asc=False)  # noqa: B023  # one entry a shard at most
+            wide = F.greatest(F.lit(1), F.ceil(F.max("members") / free).cast("int"))
+            return cells.groupBy("link_key").agg(ranked.alias("at"), wide.alias("wide")).select("link_key", F.transform(F.slice("at", 1, F.least("wide", F.size("at"))), lambda x: x["shard"]).alias("targets"))
+
         want = F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.get("targets", F.pmod(F.xxhash64("row_id", F.lit(k)), F.size("targets")).cast("int")))
-        met = state.where(large).join(F.broadcast(targets.where(large).drop("members")), "link_key").unionByName(state.where(~large).join(targets.where(~large).drop("members"), "link_key"))
+        few, many = state.where(large), state.where(~large)
+        met = few.join(F.broadcast(targets(few)), "link_key").unionByName(many.join(targets(many), "link_key"))  # LARGE targets a shard at most
         moves = work.write(met.withColumn("want", want).drop("targets"), f"moves{k}")
-        work.drop(cells)
         counts = moves.groupBy("shard", "want", large.alias("large")).agg(F.count("*").alias("n")).collect()  # 2 * n_shards squared
         if last is not None:
             work.drop(last)
