@@ -411,7 +411,7 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
     if banded is None:
         return measured, links, classes
     labels = work.write(connected_components(links, work), "labels")
-    more = _cluster_links(banded, labels, sets, threshold, block_sets)
+    more = _cluster_links(banded, labels, sets, threshold, block_sets, work)
     return measured, work.write(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "more_links"), classes
 
 
@@ -452,13 +452,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return maybe_in(made, "class", wanted).where("_maybe").drop("_maybe").join(wanted.select("id", "class", "check"), ["class", "check"]).select("id", "set").dropDuplicates(["id"])
 
 
-def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, block_sets: int) -> DataFrame:
+def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, block_sets: int, work: Workspace) -> DataFrame:
     """Links within clusters between classes that aren't connected yet (labels name what is).  A cluster is cut
     by size band; a band's most frequent label is its main one, and its classes with and without that
     are cut into blocks.  A task compares two blocks, of one band or neighbours; two of one main label needn't meet."""
     own = banded.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    common = own.groupBy("component", "band", "label").agg(F.count("*").alias("k")).groupBy("component", "band").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
-    own = own.join(common, ["component", "band"]).withColumn("other", F.col("label") != F.col("main"))
+    counts = work.write(own.where("label <> id").groupBy("component", "band", "label").agg(F.count("*").alias("k")), "counts")  # written, so the next sum begins in its tasks
+    common = counts.groupBy("component", "band").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    own = own.join(common, ["component", "band"], "left").withColumn("other", ~F.col("label").eqNullSafe(F.col("main")))
     cells = own.groupBy("component", "band", "main", "other").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     near = cells.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "main", "other", "blocks").alias("cell"))
     near = near.groupBy("component", "band").agg(F.collect_list("cell").alias("cells"))  # six at most
@@ -470,7 +471,7 @@ def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, thresh
         there = lambda k: place(c["band"], c["other"], k)
         return F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda k: F.struct(F.least(me, there(k)).alias("low"), F.greatest(me, there(k)).alias("high")))
 
-    apart = F.filter("cells", lambda c: F.col("other") | c["other"] | (c["main"] != F.col("main")))
+    apart = F.filter("cells", lambda c: F.col("other") | c["other"] | ~c["main"].eqNullSafe(F.col("main")))
     placed = own.join(near, ["component", "band"]).select("id", "component", "label", me.alias("me"), F.explode(F.flatten(F.transform(apart, meets))).alias("m"))
     placed = placed.select("id", "component", "label", "m.low", "m.high", (F.col("me") == F.col("m.high")).alias("upper")).join(sets, "id")
 

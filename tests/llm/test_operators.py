@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 
@@ -94,6 +95,31 @@ def test_sharding_small_keys_whole(spark, hot, keys, size, alone, most):
     assert len(parts["hot"]) <= 20
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sharding_ignores_file_splits(spark, parts):
+    """Rows get the shards and slots that they get from one file, whatever order they come in; equal rows share theirs."""
+    texts = [("same", 7)] * 30 + [(f"pair {i // 2}", i) for i in range(200)] + [(f"alone {i}", i) for i in range(100)] + [(None, None)] * 9 + [(None, i) for i in range(40)]
+    placed = []
+    for seed, n in ((0, 3), (1, parts)):
+        rows = list(texts)
+        random.Random(seed).shuffle(rows)
+        table = spark.createDataFrame(rows, "text string, doc_id long").repartition(n)
+        placed.append(sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(table, 6).collect()), key=str))
+    assert placed[0] == placed[1]
+
+
+def test_sharding_cuts_less_than_hashing(spark):
+    """Edges between equal texts in different shards: far fewer than when rows are dealt by a hash."""
+    rnd = random.Random(12)
+    texts = [f"text {rnd.randrange(150)}" for _ in range(900)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 10).collect()
+    home = {r.doc_id: r.shard for r in rows}
+    edges = [(i, j) for i, j in itertools.combinations(range(900), 2) if texts[i] == texts[j]]
+    cut = sum(home[i] != home[j] for i, j in edges)
+    by_hash = sum(i * 2654435761 % 2**32 * 10 >> 32 != j * 2654435761 % 2**32 * 10 >> 32 for i, j in edges)
+    assert cut <= 0.05 * by_hash
+
+
 def test_stretches_are_whole():
     taken, quota = [7, 10, 8, 4], [10, 10, 10, 10]
     out = sharding._stretches(7, [(2, 2), (4, 3)], taken, quota)  # free places: 3, 0, 2, 6
@@ -158,6 +184,58 @@ def test_jaccard(spark, small, block, size, threshold):
     assert 5 < len(set(roots)) < len(texts)
 
 
+def test_jaccard_large_cluster(spark):
+    """One cluster of thousands of classes, most of them near copies of one text, some of few others, some of none,
+    with SMALL and the blocks at their defaults: the same components as by brute force over what differs."""
+    rnd = random.Random(14)
+    passage = [f"p{i}" for i in range(80)]
+    bases = [[f"b{k}w{i}" for i in range(110)] for k in range(3)]
+    texts, roots = [], []
+    for i in range(4200):
+        k = 0 if i % 20 else 1 + (i // 20) % 4
+        if k < 3:  # passage and a base with one word changed: near to the base's others
+            w = passage + bases[k]
+            w[80 + rnd.randrange(110)] = f"x{i}"
+        else:  # the passage and words of its own
+            w = passage + [f"y{i}n{j}" for j in range(20)]
+        texts.append(" ".join(w))
+        roots.append(k if k < 3 else f"own {i}")
+    first = {}
+    want = [first.setdefault(r, i) for i, r in enumerate(roots)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), 90, 4).toPandas().sort_values("doc_id")
+    assert got.component_id.tolist() == want
+
+
+def test_hot_lanes_are_salted():
+    """A lane that a chunk has many times is a lane of its own there, and its hub, marked, ties it to the old one."""
+    import pandas as pd
+
+    key = np.array([5] * 40 + [6] * 3 + [7], np.int64)
+    cls, info = np.arange(44, dtype=np.int64), np.full(44, 9, np.int32)
+    chunks = [pd.DataFrame(dict(zip(("key", "class", "info"), jaccard_join.salted(key, cls + 100 * k, info, 32), strict=True))) for k in range(2)]
+    chunks.append(pd.DataFrame({"key": [5], "class": [999], "info": [9]}))
+    rows = pd.concat(chunks).sort_values(["key", "class", "info"])
+    assert (rows.key == 5).sum() == 3 and (rows["info"] < 0).sum() == 4
+    found = pd.concat(jaccard_join.bucket_pairs(jaccard_join.shared_rows(iter([rows])), small=32))
+    up = {c: c for c in rows["class"]}
+    for r in found[found.large].itertuples():
+        a, b = up[r.a], up[r.b]
+        up = {c: min(a, b) if v in (a, b) else v for c, v in up.items()}
+    assert len({up[c + 100 * k] for c in range(40) for k in range(2)} | {up[999]}) == 1
+    assert (found["info"] == 9).all()
+
+
+def test_jaccard_digests_that_agree_in_part(spark, monkeypatch):
+    """Classes whose lanes' half of the digest agrees are still different classes."""
+    whole = jaccard_join.class_of
+    texts = [*copies(5, 40, 60), "a b c d e f", "a b c d e f", "z y x w v u"]
+    halved = lambda h: (whole(h)[0] & 3, whole(h)[1])
+    sets = [tuple(shingles.shingle_set(t)) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = {(r["class"], r.check) for r in jaccard_join._measured(rows, 4).collect()}
+    assert len(made) == len(set(sets)) > len({halved(shingles.shingle_set(t))[0] for t in texts})
+
+
 def test_lanes_lose_nothing():
     """Any linked pair has a key in common, also just at the threshold."""
     rnd, bands = np.random.default_rng(1), jaccard_join.Bands(85)
@@ -337,6 +415,37 @@ def test_cuts_are_forced(tokenizer):
     assert b"".join(parts) == "The quick brown fox, naïve café words.".encode() and len(parts) > 4
 
 
+def test_cuts_in_all_scripts(tokenizer):
+    """More than one fragment in any script, the library's ids, and a memo below its bound in bytes."""
+    from sparkloom.llm.bpe import Encoder
+
+    library, encoder, rnd = Tokenizer.from_file(PATH), Encoder(tokenizer.spec.value), random.Random(16)
+    alphabets = [range(0x430, 0x450), range(0x4E00, 0x9000), range(0x3042, 0x3090), range(0x627, 0x64A), range(0x905, 0x939), range(0xAC00, 0xD7A0)]
+    largest = 0
+    for k in range(1500):
+        letters = alphabets[k % len(alphabets)]
+        text = "".join(chr(rnd.choice(letters)) if rnd.random() < 0.85 else rnd.choice([" ", "\u3000", "\u00a0", "\u2003", ",", "'", "'s", "\u0301", "7"]) for _ in range(rnd.randrange(200, 900)))
+        raw = encoder.encode(text)
+        if k % 25 < 6:
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert len(encoder.fragments(text.encode())) > 20
+        largest = max(largest, encoder.held)
+        assert all(len(f) <= bpe.KEPT_LENGTH for f in list(encoder.seen)[-50:])
+    assert 0 < largest <= bpe.KEPT_BYTES
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"byte_fallback": True}}, {"model": {"merges": [["a", "b"], ["h", "e"], ["Ġ", "t"]]}}])
+def test_other_tokenizers_are_refused(tokenizer, change):
+    import json
+
+    spec = json.loads(tokenizer.spec.value)
+    bpe.check_spec(spec)
+    for part, value in change.items():
+        spec[part] = spec[part] | value if part == "model" else value
+    with pytest.raises(ValueError):
+        bpe.check_spec(spec)
+
+
 def test_bpe_odd(odd, none, tokenizer):
     got = bpe.round_trip(odd, tokenizer)
     rows = by_id(got)
@@ -419,6 +528,16 @@ def test_quality_counts(spark, odd, none):
     assert by[3].base_failed and by[4].base_failed and not by[4].kept
 
 
+def test_quality_windows_decide_by_words(spark):
+    """Hashes that collide, all of them or most, change nothing."""
+    rnd = random.Random(19)
+    texts = [" ".join(rnd.choices("abcde", k=rnd.randrange(90))) for _ in range(60)] + ["", "a", "a b", "a b c", "a b c a b c", "a a a a"]
+    rows = quality_rules._measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for hashed in (lambda *w: F.lit(5).cast("long"), lambda *w: F.pmod(F.xxhash64(*w), F.lit(3))):
+        got = {r.doc_id: r._repeats for r in quality_rules._repeats(rows, hashed).select("doc_id", "_repeats").collect()}
+        assert [got[i] for i in range(len(texts))] == [brute_quality(t)[4] for t in texts]
+
+
 def test_quality_verdicts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     clean = docs.where("doc_id = 0").first().text
@@ -455,6 +574,43 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_planted(spark):
+    """A larger table with planted pairs, groups and a dense cloud over more than one block: recall, no false link, components."""
+    rnd = np.random.default_rng(5)
+    far, dim = 6000, 32
+    v = [rnd.standard_normal((far, dim))]
+    for spread in (0.05, 0.2, 0.3):
+        v.append(v[0][:400] + spread * rnd.standard_normal((400, dim)))
+    v.append(rnd.standard_normal(dim) + 0.15 * rnd.standard_normal((700, dim)))
+    v = np.concatenate(v).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5)
+    got = embedding_dedup.near_duplicates(table, block=200).toPandas().set_index("vec_id").sort_index()
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    near = w @ w.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert (got.n_links.to_numpy() <= near.sum(1)).all() and got.n_links.sum() >= 0.97 * near.sum() > 400_000
+    up = np.arange(len(v))
+    for _ in range(60):
+        up = np.minimum(up, np.where(near, up[None, :], len(v)).min(axis=1))
+    assert (got.component_id.to_numpy() == up).mean() >= 0.97
+    assert (got.kept == (got.component_id == got.index)).all()
+
+
+def test_bits_bound_pairs():
+    """Packed bits keep all but very few of the pairs at the threshold, and hardly any of random ones."""
+    rnd = np.random.default_rng(6)
+    a = rnd.standard_normal((3000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rnd.standard_normal((3000, 48))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    planes = rnd.standard_normal((48, 256))
+    distance = lambda x, y: ((x @ planes > 0) != (y @ planes > 0)).sum(1)
+    most = embedding_dedup.furthest(256, 0.9)
+    assert (distance(a, 0.9 * a + math.sqrt(0.19) * b) <= most).mean() >= 0.998 and (distance(a, b) <= most).mean() <= 0.001
+
+
 def test_plan_follows_size():
     assert [embedding_dedup.plan(n)[0] for n in (0, 100, 10**4, 10**6, 10**9)] == [4, 4, 5, 12, 22]
 
