@@ -199,5 +199,6 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
         batches.release()
         return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
+    batches.use(docs.sparkSession)
     kept, back = set_aside(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), ["_trip"])
     return back(kept.withColumn("_trip", digests("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_trip.*"))

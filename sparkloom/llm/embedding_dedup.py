@@ -144,7 +144,7 @@ def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray
 def _groups(parts, compare):
     """What ``compare`` makes of whole groups, out of rows sorted by (key, part); it gets a table of rows and their keys."""
     held = None
-    for batch in parts:
+    for batch in batches.merged(parts):
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table])
@@ -304,6 +304,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     that repeat link with each other like equal vectors of other ids; rows with a null vec_id link with
     nothing and are kept.  An empty table gives no rows.
     """
+    batches.use(vectors.sparkSession)
     work = Workspace(vectors.sparkSession)
     bits, tables = plan(vectors.count(), threshold, recall)
     width = max(LEAST_BITS, -(-bits * tables // 64) * 64)

@@ -361,19 +361,20 @@ def _sides(pairs: DataFrame, facts: DataFrame, key: str = "id") -> DataFrame:
     return pairs
 
 
-def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measured rows, links, classes): links (a, b) between ids of classes connect exactly what is linked."""
+def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(measured rows, classes with their component): a component is named by one of its classes' ids."""
+    batches.use(docs.sparkSession)
     bands = Bands(threshold)
     measured = work.write(_measured(docs, shingle), "measured")
     classes = measured.where("class is not null").groupBy("class", "check").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     classes = work.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "class", "info")
-    shared = work.write(by_key(_lanes(docs, shingle, bands, small)).mapInPandas(shared_rows, LANE), "shared")
+    shared = work.write(by_key(_lanes(docs, shingle, bands, small)).mapInArrow(batches.framed(shared_rows), LANE), "shared")
     enough = F.col("lanes") >= F.pmod("info", F.lit(NEED))
     alive = shared.groupBy("class", F.abs("info").alias("info")).agg(F.count("*").alias("lanes")).where(enough).select("class", F.col("info").alias("_info"))
     live = shared.where("info > 0").join(alive.withColumnRenamed("_info", "info"), ["class", "info"], "left_semi").unionByName(shared.where("info < 0"))
-    found = by_key(live).mapInPandas(functools.partial(bucket_pairs, small=small), "a long, b long, info int, large boolean")
+    found = by_key(live).mapInArrow(batches.framed(functools.partial(bucket_pairs, small=small)), "a long, b long, info int, large boolean")
     found = work.write(found, "found")
     met = found.where("not large").groupBy("a", "b", F.floor(F.col("info") / NEED).alias("band")).agg(F.count("*").alias("lanes"), F.max("info").alias("info"))
     pairs = _sides(met.where(enough).select("a", "b").distinct(), classes.select("class", "id", "n", "bits"), "class")
@@ -408,11 +409,14 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
         batches.release()
 
     links = work.write(_sides(pairs, sets).select("a", "b", "set_a", "set_b").mapInArrow(verified, "a long, b long"), "links")
-    if banded is None:
-        return measured, links, classes
     labels = work.write(connected_components(links, work), "labels")
-    more = _cluster_links(banded, labels, sets, threshold, block_sets, work)
-    return measured, work.write(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "more_links"), classes
+    own = classes.select("id", "class", "check", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if banded is not None:
+        more = work.write(_cluster_links(banded, labels, sets, threshold, block_sets, work), "more_links")
+        if not more.isEmpty():
+            joined = connected_components(more, work).select(F.col("component").alias("whole"), F.col("id").alias("component"))
+            own = own.join(work.write(joined, "joined"), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    return measured, own
 
 
 def _width(threshold: int) -> float:
@@ -453,7 +457,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, block_sets: int, work: Workspace) -> DataFrame:
-    """Links within clusters between classes that aren't connected yet (labels name what is).  A cluster is cut
+    """Links (a, b), between labels, within clusters between classes that aren't connected yet (labels name what is).  A cluster is cut
     by size band; a band's most frequent label is its main one, and its classes with and without that
     are cut into blocks.  A task compares two blocks, of one band or neighbours; two of one main label needn't meet."""
     own = banded.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -473,13 +477,13 @@ def _cluster_links(banded: DataFrame, labels: DataFrame, sets: DataFrame, thresh
 
     apart = F.filter("cells", lambda c: F.col("other") | c["other"] | ~c["main"].eqNullSafe(F.col("main")))
     placed = own.join(near, ["component", "band"]).select("id", "component", "label", me.alias("me"), F.explode(F.flatten(F.transform(apart, meets))).alias("m"))
-    placed = placed.select("id", "component", "label", "m.low", "m.high", (F.col("me") == F.col("m.high")).alias("upper")).join(sets, "id")
+    placed = placed.select("id", "component", "label", "m.low", "m.high", (F.col("me") == F.col("m.high")).alias("upper")).join(sets, "id").drop("id")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.frombuffer(s, np.uint64) for s in x["set"]]
         out = block_links(hashes, x["upper"].to_numpy(bool), x["label"].to_numpy(), threshold) if len(x) > 1 else []
-        ids = x["id"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in out], columns=["a", "b"], dtype="int64")
+        label = x["label"].to_numpy()
+        return pd.DataFrame([(label[a], label[b]) for a, b in out], columns=["a", "b"], dtype="int64")
 
     return placed.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
 
@@ -499,9 +503,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 def _found(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(measured rows, lookup): component, named by one of its classes, and least_id of each class."""
-    measured, links, classes = similar_classes(docs, threshold, shingle, small, block_sets, work)
-    parts = work.write(connected_components(links, work), "components")
-    own = classes.select("id", "class", "check", "first_id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    measured, own = similar_classes(docs, threshold, shingle, small, block_sets, work)
+    own = work.write(own, "named")
     least = own.groupBy("component").agg(F.min("first_id").alias("least_id"))
     return measured, own.join(least, "component").select("class", "check", "component", "least_id")
 

@@ -61,9 +61,9 @@ def features(text: str) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Weights (the last is the bias) of a linear machine with squared hinge loss, y in -1 and 1, by
-    accelerated gradient steps; and the slope that turns a margin into a probability."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a linear machine with squared hinge loss, y in -1 and 1, by accelerated gradient steps, and the
+    slope that turns a margin into a probability.  The last feature is 1, its weight the bias."""
+    x1 = x
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x1.dtype)  # both sides count alike
     y = y.astype(x1.dtype)  # else every product would copy x1 as doubles
     step = 1.0 / (4.0 + strength)  # of the loss's curvature: 2 * |x|^2, where |x|^2 is 2
@@ -94,7 +94,7 @@ class OneVersusOne:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
                 own = (labels == a) | (labels == b)
-                made.append(fit_svm(x[own], np.where(labels[own] == a, 1.0, -1.0)))
+                made.append(fit_svm(x if own.all() else x[own], np.where(labels[own] == a, 1.0, -1.0)))
         return cls(names, np.array([w for w, _ in made]), np.array([s for _, s in made])) if made else cls(names)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
@@ -122,6 +122,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
+        """x: a row of features an example, and a last column of ones."""
         if not len(langs):
             return cls(None, {})
         families = np.array([family_of(v) for v in langs])
@@ -173,11 +174,20 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
                 made = [{"lang": r["lang"], "k": r["k"], "i": i, "x": x.tobytes()} for r in batch.slice(at, n).to_pylist() for i, x in enumerate(_examples(r["text"]))]
                 yield pa.RecordBatch.from_pylist(made, schema)
 
+    batches.use(labelled.sparkSession)
     got = chosen.select("lang", "k", "text").mapInArrow(vectors, "lang string, k int, i int, x binary").toPandas()
     got = got.sort_values(["lang", "k", "i"])
     if got.empty:
         return LanguageModel(None, {})
-    return LanguageModel.fit(np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1), got.lang.to_numpy(str))
+    x = np.ones((len(got), (1 << BITS) + 1), np.float32)
+    for i, own in enumerate(got.x):
+        x[i, :-1] = np.frombuffer(own, np.float32)
+    langs = got.lang.to_numpy(str)
+    del got
+    model = LanguageModel.fit(x, langs)
+    del x
+    batches.release()  # this runs on the driver
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -192,5 +202,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         batches.release()
         return pa.array(told, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
+    batches.use(docs.sparkSession)
     kept, back = set_aside(docs.drop("lang_pred", "score"), ["_lang"])
     return back(kept.withColumn("_lang", predicted("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_lang.lang_pred", "_lang.score"))

@@ -52,6 +52,7 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, end_id: in
     Repeated rows are packed each; null ids stay null.  An empty table gives no pieces.
     """
     work = Workspace(docs.sparkSession)
+    batches.use(docs.sparkSession)
     rows = work.write(token_rows(docs, tokenizer, end_id), "tokens", "zstd")
     size = (F.octet_length("ids") / 4).cast("long")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task

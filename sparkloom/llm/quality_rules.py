@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import set_aside
-from .workspace import Workspace
 
 #: Frequent function words of the reference languages.
 COMMON_WORDS = {
@@ -192,9 +191,6 @@ def judge(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
 
 def passing(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with their own columns; null texts, empty ones and repeated rows
-    as told there.
-
-    The verdicts are written before they are filtered, so each text is measured once."""
+    as told there."""
     own, back = set_aside(docs, ["kept", *MEASURES])
-    judged = judge(own, max_distance).select(*[f"`{c}`" for c in own.columns], "kept")
-    return back(Workspace(docs.sparkSession).write(judged, "judged").where("kept").select([f"`{c}`" for c in own.columns]))
+    return back(judge(own, max_distance).where("kept").select([f"`{c}`" for c in own.columns]))

@@ -140,6 +140,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
         batches.release()
         return pa.array(rows, kind)
 
+    batches.use(docs.sparkSession)
     kept, back = set_aside(docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans"), ["_found"])
     return back(kept.withColumn("_found", found("text")).select(*[F.col(f"`{c}`") for c in kept.columns], "_found.*"))
 
@@ -164,4 +165,5 @@ def redact(docs: DataFrame) -> DataFrame:
         batches.release()
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
+    batches.use(docs.sparkSession)
     return docs.withColumn("text", cleaned("text"))
