@@ -56,7 +56,7 @@ SMALL = 32  # classes in a lane whose pairs are given out
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # of a block in a cluster
 LARGEST = 1 << 40  # bands cover sets up to this size
 NEED = 1 << 16  # band * NEED + need is one integer
-CHUNK = 400_000  # rows of lanes that a task holds, and looks for hot lanes in
+CHUNK = 200_000  # rows of lanes that a task holds, and looks for hot lanes in
 WORDS = 1 << 18  # of 64 bits, in the bitmaps that spare most texts a shuffle
 _U = np.uint64
 
