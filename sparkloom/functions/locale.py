@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import fill, is_filled, strip_py
+from .text import WS_PY, fill, is_filled, strip_py
 
 DEFAULT = "en-US"
 #: The supported locales, and where other tags go.
@@ -308,6 +309,18 @@ def resolve_locale(tag: Column) -> Column:
     return F.when(is_filled(tag), known).otherwise(F.lit(DEFAULT))
 
 
+def said(tag: str | None, key: str, **values: object) -> str:
+    """``message`` of one tag and key, in plain Python, for the driver."""
+    norm = (tag or "").strip(WS_PY).replace("_", "-")
+    low, fallbacks = norm.lower(), {k.lower(): v for k, v in FALLBACKS.items()}
+    known = {v.lower(): v for v in LOCALES}
+    own = known.get(low) or FALLBACKS.get(norm) or fallbacks.get(low) or fallbacks.get(low.split("-")[0]) or DEFAULT
+    template = MESSAGES.get(own, {}).get(key) or MESSAGES[DEFAULT].get(key, key)
+    if not set(re.findall(r"\{(\w+)\}", template, re.ASCII)) <= set(values):
+        return template
+    return re.sub(r"\{(\w+)\}", lambda m: str(values[m[1]]), template, flags=re.ASCII)
+
+
 def message(tag: Column, key: Column, **values: Column) -> Column:
     """The template of the locale, else of the default locale, else the key; placeholders filled."""
     flat = {f"{lang}\n{k}": t for lang, texts in MESSAGES.items() for k, t in texts.items()}

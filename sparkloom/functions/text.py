@@ -93,6 +93,11 @@ def is_url(c: Column) -> Column:
     return F.try_parse_url(c, F.lit("PROTOCOL")).isNotNull()
 
 
+def resolved_path(c: Column, base: str) -> Column:
+    """A path that is absolute, or the same under ``base``."""
+    return F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
+
+
 def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 

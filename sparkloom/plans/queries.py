@@ -221,11 +221,60 @@ def office_members(spark, sf_dir):
     return office.members(_office_files(spark, sf_dir), suffix=".xml").select("path", "member")
 
 
+def office_unreadable(spark, sf_dir):
+    """One good workbook and, for each region, bytes that are none: these give an error row each and don't fail the rest."""
+    bad = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".xlsx")).alias("path"), F.encode("r_name", "UTF-8").alias("content"))
+    f = _office_files(spark, sf_dir).where("format = 'xlsx'").select("path", "content").unionByName(bad)
+    kept = office.cells(f, permissive=True).groupBy("path").agg(F.count("*").alias("n_cells"))
+    return kept.select("path", "n_cells").unionByName(office.unreadable(f, "xlsx_cells").select("path", F.lit(0).cast("long").alias("n_cells")))
+
+
+def text_functions(spark, sf_dir):
+    """Header tags, paths, labels, cell references, slide numbers and XML texts made from the nations."""
+    n, k = F.col("n_name"), F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        text.first_tag(F.concat(n, F.lit(";q=0.9,en"))).alias("tag"),
+        text.basename(F.concat(F.lit("/data/"), k, F.lit("/"), n)).alias("base"),
+        text.resolved_path(F.concat(F.when(k % 2 == 0, "/").otherwise(""), n), "/base/").alias("resolved"),
+        text.label_or(F.when(k % 5 == 0, F.lit(" ")).otherwise(n), "none").alias("label"),
+        text.is_url(F.concat(F.when(k % 3 == 0, "https://example.org/").otherwise(""), k)).alias("is_url"),
+        text.cell_column(F.concat(F.lit("AB"), k + 1)).alias("cell_column"),
+        text.cell_row(F.concat(F.lit("AB"), k + 1)).alias("cell_row"),
+        text.slide_number(F.concat(F.lit("ppt/slides/slide"), F.when(k > 4, k.cast("string")).otherwise(""), F.lit(".xml"))).alias("slide"),
+        F.array_join(text.xml_texts(F.concat(F.lit("<a xmlns:x='u'><x:t>"), n, F.lit("</x:t><t>2</t><b>3</b></a>")), "t"), "|").alias("xml"),
+        registry.display_name(F.when(k % 2 == 0, n).otherwise(""), F.when(k % 3 == 0, "").otherwise(k.cast("string"))).alias("shown"),
+    )
+
+
+def skills_requested(spark, sf_dir):
+    """The user's registry after single requests, one after the other: two new skills, one overwritten under another
+    case, a rename that is refused, one that isn't, an activation, a deletion, and one of a skill that isn't there."""
+    ids = iter(("new-1", "new-2"))
+    at = mutate.Registry(skills(spark, sf_dir).withColumn("updated_at", F.lit(0)), mutate.User(USER), new_id=lambda: next(ids), now=lambda: 0)
+    steps = (
+        lambda r: r.create("Fresh one", " about ", "text"),
+        lambda r: r.create("Second"),
+        lambda r: r.create(" FRESH ONE ", "again"),
+        lambda r: r.update(name="second", new_name="fresh ONE"),
+        lambda r: r.update(name="second", new_name="Third", content="more"),
+        lambda r: r.update(skill_id="new-1", is_active=True),
+        lambda r: r.delete(skill_id="40"),
+        lambda r: r.delete(name="no such skill"),
+    )
+    for step in steps:
+        out = step(at)
+        if out.cause is not None:
+            raise out.cause
+        at.state = out.state
+    return at.state.where(F.col("user_id") == USER).select("id", "name", "description", F.md5("content").alias("content_md5"), "is_active")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     skills_list, skills_registry, skills_ranked, skills_counts_by_user, skills_show, skills_first_match, skills_name_collisions, skills_rename_conflicts,
     skills_upsert, skills_update, skills_delete, documents_text, action_preview, tool_processed, last_assistant_message, conversation_hooks, transcripts,
     conversation_pipe, pipe_models, conversation_stream, resolved_locales, messages_by_user, catalogue_lookup, env_file, model_ids, skill_front_matter,
-    office_texts, office_cells, office_sheet, office_members,
+    office_texts, office_cells, office_sheet, office_members, office_unreadable, text_functions, skills_requested,
 )}
 
 
@@ -286,5 +335,19 @@ ORACLE_SQL: dict[str, str] = {
     "catalogue_lookup": "SELECT * FROM (VALUES ('de_de', 'err_not_found', 'Skill nicht gefunden'), ('de', 'status_done', 'Finished'), ('xx', 'no_such_key', 'no_such_key'), (NULL, 'status_listing', 'Reading the list of skills')) v(locale, key, text)",
     "env_file": "SELECT * FROM (VALUES ('A', '1'), ('B', 'two words'), ('C', 'x'), ('D', ''), ('MODELS', 'a, b,,a ,c'), ('URL', 'https://example.org/x')) v(key, value)",
     "model_ids": "SELECT * FROM (VALUES ('a'), ('b'), ('c')) v(model_id)",
+    "office_texts": """SELECT 'a.docx' AS path, string_agg(r_name, ' ' ORDER BY r_regionkey) AS text FROM region
+UNION ALL SELECT 'b.pptx', string_agg(concat('Slide ', k, ': ', r_name), chr(10) ORDER BY k) FROM (SELECT r_name, ['1', '2', '10', '11', '3'][r_regionkey + 1] AS k FROM region)""",
+    "office_cells": """SELECT 'c.xlsx' AS path, 1 AS sheet, r_regionkey + 1 AS row_num, col, CASE WHEN col = 'A' THEN r_name ELSE CAST((r_regionkey + 1) * 10 AS VARCHAR) END AS value
+FROM region, (VALUES ('A'), ('B')) v(col)""",
+    "office_sheet": "SELECT r_regionkey + 1 AS row_num, r_name AS \"A\", CAST((r_regionkey + 1) * 10 AS VARCHAR) AS \"B\" FROM region WHERE r_regionkey > 0",
+    "office_members": """SELECT 'a.docx' AS path, 'word/document.xml' AS member UNION ALL SELECT 'b.pptx', concat('ppt/slides/slide', ['1', '2', '10', '11', '3'][r_regionkey + 1], '.xml') FROM region
+UNION ALL SELECT 'c.xlsx', unnest(['xl/sharedStrings.xml', 'xl/worksheets/sheet1.xml'])""",
+    "office_unreadable": "SELECT 'c.xlsx' AS path, 2 * count(*) AS n_cells FROM region UNION ALL SELECT concat(r_name, '.xlsx'), 0 FROM region",
+    "text_functions": """SELECT n_nationkey, n_name AS tag, n_name AS base, concat(CASE WHEN n_nationkey % 2 = 0 THEN '/' ELSE '/base/' END, n_name) AS resolved,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'none' ELSE n_name END AS label, n_nationkey % 3 = 0 AS is_url, 'AB' AS cell_column, n_nationkey + 1 AS cell_row,
+  CASE WHEN n_nationkey > 4 THEN CAST(n_nationkey AS VARCHAR) ELSE '?' END AS slide, concat(n_name, '|2') AS xml,
+  CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 3 = 0 THEN 'unknown' ELSE CAST(n_nationkey AS VARCHAR) END AS shown FROM nation""",
+    "skills_requested": _with_skills(f"""SELECT id, name, description, md5(content) AS content_md5, is_active FROM skills WHERE user_id = '{USER}' AND id <> '40'
+UNION ALL SELECT 'new-1', 'FRESH ONE', 'again', md5('again'), true UNION ALL SELECT 'new-2', 'Third', 'Second', md5('more'), false"""),
     "skill_front_matter": _with_skills("SELECT id, id AS name, description, md5(content) AS body_md5 FROM skills"),
 }

@@ -1,114 +1,128 @@
 """Office documents: Python table functions over file contents, one file at a time.
 
-Members are read with the standard library; their size is capped by ``MAX_MEMBER`` so that a crafted
-archive fails instead of filling a worker, and documents with a DOCTYPE are refused, which rules out
-entity expansion.
+The functions take an archive apart, member by member and element by element, with the standard library; what
+the names of members and the references of cells mean is told by built-in functions afterwards.  The size of
+members is capped by ``MAX_MEMBER`` so that a crafted archive can't fill a worker, and documents with a DOCTYPE
+are refused, which rules out entity expansion.
+
+A file that can't be read gives one row with ``error`` alone.  By default that fails the query;
+with ``permissive`` such files have no rows, and ``unreadable`` lists them.
 """
 
 from __future__ import annotations
 
+import functools
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.text import cell_column, cell_row, slide_number
+
 MAX_MEMBER = 256 << 20
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError, EOFError)
+
+
+def _elements(z: zipfile.ZipFile, member: str, *wanted: str) -> Iterator[tuple[str, ElementTree.Element]]:
+    """(local name, element) of a member's wanted elements as each ends."""
+    if z.getinfo(member).file_size > MAX_MEMBER:
+        raise ValueError(f"{member} is larger than {MAX_MEMBER} bytes")
+    with z.open(member) as f:
+        head = f.read(4096)
+        if b"<!DOCTYPE" in head:
+            raise ValueError(f"{member} declares a document type")
+        parser = ElementTree.XMLPullParser(["end"])
+        data = head
+        while data:
+            parser.feed(data)
+            for _, e in parser.read_events():
+                local = e.tag.rpartition("}")[2]
+                if local in wanted:
+                    yield local, e
+            data = f.read(1 << 16)
+        parser.close()
 
 
-def _member(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    with z.open(name) as f:
-        data = f.read(MAX_MEMBER + 1)
-    if len(data) > MAX_MEMBER:
-        raise ValueError(f"{name} is larger than {MAX_MEMBER} bytes")
-    if b"<!DOCTYPE" in data[:4096]:
-        raise ValueError(f"{name} declares a document type")
-    return ElementTree.fromstring(data)
+def _child(e: ElementTree.Element, local: str) -> str | None:
+    """Text of the first child of that name; None without one."""
+    return next((x.text or "" for x in e if x.tag.rpartition("}")[2] == local), None)
 
 
-def _all(root: ElementTree.Element, local: str) -> Iterator[ElementTree.Element]:
-    return (e for e in root.iter() if e.tag.rpartition("}")[2] == local)
+def _guarded(width: int):
+    """Makes a function of an archive into a table function's ``eval``; failures become a last column of one row."""
 
+    def wrap(rows):
+        @functools.wraps(rows)
+        def eval_(self, content: bytes):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                    yield from ((*r, None) for r in list(rows(self, z)))
+            except BROKEN as e:
+                yield (*[None] * width, f"{type(e).__name__}: {e}")
 
-def _own(e: ElementTree.Element, local: str) -> list[ElementTree.Element]:
-    return [x for x in e if x.tag.rpartition("}")[2] == local]
+        return eval_
 
+    return wrap
 
-@udtf(returnType="member string, size long")
+
+@udtf(returnType="member string, size long, error string")
 class ZipMembers:
     """Names and sizes of an archive's members."""
 
-    def eval(self, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for i in z.infolist():
-                yield i.filename, i.file_size
+    @_guarded(2)
+    def eval(self, z):
+        return ((i.filename, i.file_size) for i in z.infolist())
 
 
-@udtf(returnType="sheet int, row_num int, col string, value string")
+@udtf(returnType="member string, nth int, ref string, value string, error string")
 class XlsxCells:
-    """All non-empty cells; sheets are numbered by the digits in their names.  A shared string takes its
-    first direct text; an index beyond the strings keeps the number."""
-
-    def eval(self, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names, shared = z.namelist(), []
-            if "xl/sharedStrings.xml" in names:
-                for si in _all(_member(z, "xl/sharedStrings.xml"), "si"):
-                    t = _own(si, "t")
-                    shared.append((t[0].text or "") if t else "")
-            for name in names:
-                m = re.fullmatch(r"xl/worksheets/sheet(\d*)\.xml", name)
-                if m:
-                    yield from self._cells(int(m[1] or 0), _member(z, name), shared)
-
-    @staticmethod
-    def _cells(sheet: int, root: ElementTree.Element, shared: list[str]):
-        met = 0
-        for row in _all(root, "row"):
-            found, number = {}, ""
-            for cell in _own(row, "c"):
-                ref, v = cell.get("r", ""), _own(cell, "v")
-                number = "".join(c for c in ref if c.isdigit())
-                if v and v[0].text:
-                    value = v[0].text
-                    if cell.get("t") == "s" and shared and int(value) < len(shared):
-                        value = shared[int(value)]
-                    found["".join(c for c in ref if c.isalpha())] = value
-            if found:
-                at = int(number) if number else met
-                met += 1
-                yield from ((sheet, at, col, value) for col, value in found.items())
-
-
-@udtf(returnType="ord int, text string")
+    """All cells with a value: the sheet's member, the row's place among rows with values, the cell's reference.  A
+    shared string is its own direct text, without that of rich runs; an index beyond the strings keeps the number."""
+
+    @_guarded(4)
+    def eval(self, z):
+        names = z.namelist()
+        strings = [_child(si, "t") or "" for _, si in _elements(z, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
+        for member in names:
+            if member.startswith("xl/worksheets/sheet") and member.endswith(".xml"):
+                nth = 0
+                for _, row in _elements(z, member, "row"):
+                    own = [(c.get("r", ""), _child(c, "v"), c.get("t")) for c in row if c.tag.rpartition("}")[2] == "c"]
+                    own = [(ref, v, kind) for ref, v, kind in own if v]
+                    for ref, v, kind in own:
+                        shared = kind == "s" and v.isdecimal() and int(v) < len(strings)
+                        yield member, nth, ref, strings[int(v)] if shared else v
+                    nth += bool(own)
+                    row.clear()
+
+
+@udtf(returnType="ord int, text string, error string")
 class DocxTexts:
     """Text runs of the main part, in order."""
 
-    def eval(self, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for i, t in enumerate(x for x in _all(_member(z, "word/document.xml"), "t") if x.text):
-                yield i, t.text
+    @_guarded(2)
+    def eval(self, z):
+        return enumerate(t.text for _, t in _elements(z, "word/document.xml", "t") if t.text)
 
 
-@udtf(returnType="ord int, unit string, text string")
+@udtf(returnType="member string, text string, error string")
 class PptxTexts:
-    """Text of each slide that has any, in the order of member names."""
+    """Text of each slide that has any."""
 
-    def eval(self, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            slides = sorted(n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml"))
-            for i, name in enumerate(slides):
-                text = " ".join(t.text for t in _all(_member(z, name), "t") if t.text)
-                if text:
-                    m = re.search(r"slide(\d+)", name)
-                    yield i, m[1] if m else "?", text
+    @_guarded(2)
+    def eval(self, z):
+        for member in z.namelist():
+            if member.startswith("ppt/slides/slide") and member.endswith(".xml"):
+                runs = [t.text for _, t in _elements(z, member, "t") if t.text]
+                if runs:
+                    yield member, " ".join(runs)
 
 
-@udtf(returnType="page int, text string")
+@udtf(returnType="page int, text string, error string")
 class PdfPages:
     """Text of each page; needs the optional package pymupdf."""
 
@@ -119,7 +133,7 @@ class PdfPages:
             raise RuntimeError("reading PDF needs the package pymupdf, which isn't installed") from e
         with pymupdf.open(stream=content, filetype="pdf") as doc:
             for i, page in enumerate(doc):
-                yield i + 1, page.get_text()
+                yield i + 1, page.get_text(), None
 
 
 FUNCTIONS = {"zip_members": ZipMembers, "xlsx_cells": XlsxCells, "docx_texts": DocxTexts, "pptx_texts": PptxTexts, "pdf_pages": PdfPages}
@@ -136,13 +150,30 @@ def _lateral(files: DataFrame, function: str) -> DataFrame:
     return files.sparkSession.sql(f"SELECT f.path, t.* FROM {{files}} f, LATERAL {function}(f.content) t", files=files)
 
 
-def members(files: DataFrame, prefix: str = "", suffix: str = "") -> DataFrame:
+def _rows(files: DataFrame, function: str, permissive: bool) -> DataFrame:
+    found = _lateral(files, function)
+    if permissive:
+        return found.where("error is null").drop("error")
+    stop: Column = F.raise_error(F.concat("path", F.lit(": "), "error")).cast("boolean")
+    return found.where(F.when(F.col("error").isNull(), True).otherwise(stop)).drop("error")
+
+
+def unreadable(files: DataFrame, function: str) -> DataFrame:
+    """path and error of the files that a table function can't read."""
+    return _lateral(files, function).where("error is not null").select("path", "error")
+
+
+def members(files: DataFrame, prefix: str = "", suffix: str = "", permissive: bool = False) -> DataFrame:
     """path, member and size of archives (path, content) whose members begin and end so."""
-    return _lateral(files, "zip_members").where(F.col("member").startswith(prefix) & F.col("member").endswith(suffix))
+    return _rows(files, "zip_members", permissive).where(F.col("member").startswith(prefix) & F.col("member").endswith(suffix))
 
 
-def cells(files: DataFrame) -> DataFrame:
-    return _lateral(files, "xlsx_cells")
+def cells(files: DataFrame, permissive: bool = False) -> DataFrame:
+    """path, sheet, row_num, col and value of all cells with a value.  Sheets are numbered by the digits in their
+    names; a cell without a row in its reference is in the row's place."""
+    sheet = F.coalesce(F.regexp_extract("member", r"sheet(\d*)\.xml$", 1).try_cast("int"), F.lit(0))
+    found = _rows(files, "xlsx_cells", permissive).where(F.col("member").rlike(r"^xl/worksheets/sheet\d*\.xml$"))
+    return found.select("path", sheet.alias("sheet"), F.coalesce(cell_row(F.col("ref")), "nth").alias("row_num"), cell_column(F.col("ref")).alias("col"), "value")
 
 
 def first_sheet(files: DataFrame, header: str = "letters") -> DataFrame:
@@ -168,19 +199,19 @@ def joined(texts: DataFrame, separator: str, value: str = "text") -> DataFrame:
     return texts.groupBy("path").agg(F.array_join(F.transform(pieces, lambda x: x[value]), separator).alias("text"))
 
 
-def docx_text(files: DataFrame) -> DataFrame:
-    return joined(_lateral(files, "docx_texts"), " ")
+def docx_text(files: DataFrame, permissive: bool = False) -> DataFrame:
+    return joined(_rows(files, "docx_texts", permissive), " ")
 
 
-def pptx_text(files: DataFrame, numeric: bool = False) -> DataFrame:
+def pptx_text(files: DataFrame, numeric: bool = False, permissive: bool = False) -> DataFrame:
     """``Slide N: ...`` lines by member name, or by slide number."""
-    slides = _lateral(files, "pptx_texts").withColumn("line", F.concat(F.lit("Slide "), "unit", F.lit(": "), "text"))
-    if numeric:
-        slides = slides.withColumn("ord", F.coalesce(F.col("unit").try_cast("int"), F.lit(2147483647)))
-    return joined(slides, "\n", "line")
+    number = slide_number(F.col("member"))
+    place = F.struct(F.coalesce(number.try_cast("int"), F.lit(2147483647)).alias("n"), "member") if numeric else F.struct("member")
+    slides = _rows(files, "pptx_texts", permissive)
+    return joined(slides.select("path", place.alias("ord"), F.concat(F.lit("Slide "), number, F.lit(": "), "text").alias("line")), "\n", "line")
 
 
 def pdf_text(files: DataFrame) -> DataFrame:
     """path, text and page_count."""
-    pages = _lateral(files, "pdf_pages").withColumnRenamed("page", "ord")
+    pages = _rows(files, "pdf_pages", False).withColumnRenamed("page", "ord")
     return joined(pages, "\n").join(pages.groupBy("path").agg(F.count("*").alias("page_count")), "path")

@@ -16,6 +16,7 @@ from ..functions.text import WS_JS, is_filled, preview, text_or_empty
 #: What results begin with, and the answers and models of a pipe that has none of its own.
 ACTION, TOOL = "Action processed: ", "Processed: "
 ANSWER = "This is a response from the pipe function."
+MOST_MODELS = 1000
 MODELS = (("model-1", "Model 1"), ("model-2", "Model 2"))
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -90,9 +91,12 @@ class Pipe:
 
 
 def per_model(models: DataFrame, tests: DataFrame) -> DataFrame:
-    """Each given test once for each model id; both are short, given lists."""
-    ids = models.agg(F.collect_set("id").alias("ids"))
-    return tests.join(F.broadcast(ids)).select(*tests.columns, F.explode("ids").alias("model_id"))
+    """Each given test once for each model id: the product of two given lists, of which the models' has
+    ``MOST_MODELS`` at most."""
+    ids = models.select(F.col("id").alias("model_id")).distinct()
+    if ids.count() > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    return tests.crossJoin(F.broadcast(ids)).select(*tests.columns, "model_id")
 
 
 def stream(spark: SparkSession, path: str, hook: Transform, out: str, checkpoint: str, schema=None) -> None:

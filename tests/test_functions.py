@@ -161,3 +161,20 @@ def test_plugins(spark):
         plugins.run("filter", "mark", df, other=1)
     with pytest.raises(ValueError, match="kind"):
         plugins.register(Extension("other", "x", lambda d, c: d))
+
+
+def test_said_is_message(spark):
+    """The driver's twin answers as the column does."""
+    tags = (None, "", " ", "de_DE", "FR", "zh-Hant-TW", "en-GB", "ja", "xx", "ZH_tw")
+    asked = [(t, k) for t in tags for k in ("status_list_done", "err_not_found", "no_such_key", "status_done")]
+    rows = spark.createDataFrame(asked, "tag string, key string").select("tag", "key", locale.message(F.col("tag"), F.col("key"), count=F.lit(3), active_count=F.lit("{name}")).alias("m")).collect()
+    assert [r.m for r in rows] == [locale.said(r.tag, r.key, count=3, active_count="{name}") for r in rows]
+
+
+def test_office_broken_files(spark):
+    good = archive({"xl/worksheets/sheet1.xml": "<w><row><c r='A7' t='s'><v>x</v></c></row></w>"})
+    files_ = as_files(spark, good=good, cut=good[:60], xml=archive({"xl/worksheets/sheet1.xml": "<w><row>"}), none=None)
+    assert [tuple(r) for r in office.cells(files_, permissive=True).collect()] == [("good", 1, 7, "A", "x")]
+    assert sorted(r.path for r in office.unreadable(files_, "xlsx_cells").collect()) == ["cut", "none", "xml"]
+    with pytest.raises(PySparkException, match="BadZipFile|ParseError"):
+        office.cells(files_).collect()
