@@ -88,8 +88,7 @@ class Encoder:
         tokens = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.specials}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
         self.cuts = forced_cuts(list(tokens))
-        spaces = [s.encode() for s in WIDE_SPACES]
-        self.spaces = [np.array(sorted(int.from_bytes(s, "big") for s in spaces if len(s) == n)) for n in (2, 3)]
+        self.space = re.compile("|".join(WIDE_SPACES).encode())
         self.bytes_of = {i: t for t, i in tokens.items()} | {i: t.encode() for t, i in self.specials.items()}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.seen: dict[bytes, bytes] = {}
@@ -100,10 +99,9 @@ class Encoder:
         b = np.frombuffer(data, np.uint8)
         pair = b[:-1].astype(np.uint16) << 8 | b[1:]
         cut = np.flatnonzero(self.cuts[pair])
-        if (b >= 0x80).any():
-            last = [b[np.maximum(cut - k, 0)].astype(np.int64) for k in range(3)]
-            two, three = last[1] << 8 | last[0], last[2] << 16 | last[1] << 8 | last[0]
-            cut = cut[~(np.isin(two, self.spaces[0]) | np.isin(three, self.spaces[1]))]
+        wide = [m.end() - 1 for m in self.space.finditer(data)]
+        if wide:
+            cut = np.setdiff1d(cut, wide, assume_unique=True)
         at = [0, *(cut + 1).tolist(), len(data)]
         return [data[i:j] for i, j in zip(at, at[1:])]  # noqa: B905
 

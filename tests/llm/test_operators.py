@@ -327,6 +327,42 @@ def test_language_odd(spark, odd, none, sf):
     assert one.predict("anything") == ("xx", 1.0)
 
 
+def brute_features(text):
+    """Counts of 2- and 3-grams of lower-cased bytes, one by one."""
+    b, x = text.lower().encode(), np.zeros(1 << language_id.BITS)
+    for order, factors in ((2, (2654435761, 40503)), (3, (2246822519, 3266489917, 668265263))):
+        for i in range(len(b) - order + 1):
+            h = sum(b[i + k] * f for k, f in enumerate(factors)) % 2**32
+            x[(h ^ (h >> 15)) * 2654435769 % 2**32 >> (32 - language_id.BITS)] += 1
+    x = np.sqrt(x)
+    return x / np.sqrt((x * x).sum()) if x.any() else x
+
+
+def test_language_by_hand(spark, sf):
+    """Features, votes of all pairs and the walk from family to language, against plain loops."""
+    model = language_id.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect()] + ["Straße", "é", "a1"]
+
+    def votes(machines, x):
+        won, k = dict.fromkeys(machines.names, 0.0), 0
+        for a, b in itertools.combinations(machines.names, 2):
+            margin = sum(float(w) * float(v) for w, v in zip(machines.weights[k][:-1], x, strict=True) if v) + float(machines.weights[k][-1])
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, machines.slopes[k] * margin))))
+            won[a] += p
+            won[b] += 1 - p
+            k += 1
+        best = max(sorted(won), key=won.__getitem__)
+        return (best, won[best] / max(len(won) - 1, 1)) if len(won) > 1 else (best, 1.0)
+
+    for t in texts:
+        x = brute_features(t)
+        assert np.allclose(language_id.features(t), x, atol=1e-6)
+        family, p = votes(model.families, x)
+        lang, q = votes(model.languages[family], x)
+        told, score = model.predict(t)
+        assert told == lang and abs(score - p * q) < 1e-4
+
+
 # 4
 
 
@@ -642,6 +678,28 @@ def test_url_rules_and_reputation(spark):
     assert url_filters.filter_urls(table.limit(0), spark.createDataFrame(labels, "page_id long, good int"), rules).count() == 0
 
 
+def test_reputation_decides_on_labelled_pages(spark):
+    """Without any rule that fits, the verdicts follow the hosts' records: bad hosts are blocked, good ones aren't, and a
+    host without a label is expected to be as its domain, though it is blocked only if that is sure enough."""
+    pages = [(h * 100 + i, f"https://h{h}.{'bad' if h < 4 else 'good'}.org/{i}") for h in range(8) for i in range(60)]
+    pages += [(9000, "https://new.bad.org/x"), (9001, "https://new.good.org/x"), (9002, "https://" + "long." * 3000 + "org/" + "p" * 200_000)]
+    rnd = random.Random(20)
+    labels = [(i, int(rnd.random() < (0.05 if i < 400 else 0.95))) for i, _ in pages if i < 800]
+    judged = url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), (("net", "/", "allow"),))
+    rows = {r.page_id: r for r in judged.collect()}
+    got = {i: r.verdict for i, r in rows.items()}
+    assert {got[i] for i, _ in pages if i < 400} == {"block"}
+    assert rows[9000].mean < 0.35 < 0.65 < rows[9001].mean and got[9000] == ("block" if rows[9000].upper < url_filters.MIN_GOOD else "allow")
+    assert {got[i] for i, _ in pages if 400 <= i < 800} == {"allow"} == {got[9001], got[9002]}
+
+
+def test_chat_long_texts(spark):
+    long = "<|end|></s>[INST] word " * 40_000
+    made = chat_format.format_conversations(chat_format.gather_turns(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], ROWS)))
+    r = made.select(chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    assert [t.text for t in r.t] == [long, long] and r.loss == long
+
+
 def test_native_operators_run_no_python(spark, sf):
     from sparkloom.llm.queries import QUERIES
 

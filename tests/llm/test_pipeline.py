@@ -79,5 +79,33 @@ def test_packing(spark, stages):
     assert (sums.iloc[:-1] == 2048).all()
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_on_odd_tables(spark, sf, stage):
+    """Nulls in all columns, repeated rows, clashing further columns, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"the word{i}" for i in range(60))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + " more", None), (3, None, "en"), (4, "", None), (None, text, "en"), (None, None, None)]
+    table = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
+    for name in ("_words", "_lang", "lang_pred", "score", "kept", "n_words", "_text", "_class", "class", "ids", "task", "n"):
+        table = table.withColumn(name, F.lit(7))
+    name, function = stage
+    out = function(spark, table, sf)
+    got = out.collect()
+    empty = function(spark, table.limit(0), sf)
+    assert empty.collect() == [] and empty.columns == out.columns
+    if name == "packing":
+        assert sum(r.length for r in got if r.start + r.length == r.doc_tokens) > 0 and len({r.sequence_id for r in got}) >= 1
+        return
+    assert out.columns == table.columns and all(r.score == r.kept == r["class"] == 7 for r in got)
+    ids = sorted(str(r.doc_id) for r in got)
+    assert ids == {
+        "language": ["1", "1", "2", "None"],
+        "quality": ["1", "1", "2", "None"],
+        "duplicates": ["1", "3", "4", "None", "None"],
+        "secrets": ["1", "1", "2", "3", "4", "None", "None"],
+    }[name]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
