@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it leaves, with their columns; the last
 returns packed pieces.  Between stages the documents are written as Parquet and read again.
+
+Of all stages: an empty table stays empty, rows that repeat get equal answers, and further columns stay as they
+are, also under a name that an operator works with.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from sparkloom.llm.workspace import Workspace
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predicts each document's language; it replaces ``lang``.  Documents without a letter, and those
-    whose language no machine is sure of, go."""
-    model = language_id.fit(docs.where(~F.coalesce(queries.held_out(), F.lit(True))))
+    whose language no machine is sure of, go, null and empty texts among them; with no labelled row at all, every one.
+    Rows with a null ``doc_id`` are not learnt from; null labels neither."""
+    model = language_id.fit(docs.where(~queries.held_out()))
     own, back = set_aside(docs, ["lang_pred", "score"])
     told = language_id.identify(own, model)
     sure = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
@@ -25,22 +29,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or their divergence from all language references rejects go."""
+    """Documents that the base rule or their divergence from all language references rejects go.  A null text
+    measures as empty and goes, as do all under 50 words; a null ``lang`` only makes a row no part of the references."""
     return quality_rules.passing(docs)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words a shingle, similarity 0.8."""
+    """One document of each group of near duplicates stays: five words a shingle, similarity 0.8.  Documents without
+    words, and those with a null ``doc_id``, stay; rows that repeat an id and its text become one."""
     return jaccard_join.one_of_each(docs, threshold=80, shingle=5)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; ``n_chars`` follows."""
+    """Secrets are replaced by their kind; ``n_chars`` follows.  All documents stay; a null text stays null."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids."""
+    """Pieces of sequences of 2048 tokens, with their ids.  A null text is packed as its end token; null ids stay null,
+    repeated rows are packed each."""
     return packing.pack(docs, queries.tokenizer(spark))
 
 
