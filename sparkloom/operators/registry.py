@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import or_else, strip_py, text_or_empty
 
+RANKED = 3  # characters that names begin with, by which a user's rows are ranked apart
 SCHEMA = "id string, user_id string, name string, description string, content string, is_active boolean, updated_at long, meta map<string,string>, seq long"
 
 
@@ -123,6 +124,15 @@ def split_by_existing(registry: DataFrame, requests: DataFrame) -> tuple[DataFra
 
 
 def ranked(registry: DataFrame) -> DataFrame:
-    """Every user's listing with its place in it."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*by_name(registry)))
-    return registry.select("user_id", place.alias("place"), *[c.alias(k) for k, c in _shown(registry).items()])
+    """Every user's listing with its place in it.
+
+    A user's rows are ranked by groups of names that begin alike, so a large registry is no single task: a row's place is
+    its rank in its group and the rows of the groups before.  Those are counted beforehand, and a user has as many of them as
+    there are beginnings of ``RANKED`` characters."""
+    key, seq = by_name(registry)
+    rows = registry.select("user_id", key.alias("_key"), F.substring(key, 1, RANKED).alias("_group"), seq.alias("_seq"), *[c.alias(k) for k, c in _shown(registry).items()])
+    before = Window.partitionBy("user_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("user_id", "_group").agg(F.count("*").alias("n")).select(F.col("user_id").alias("_user"), F.col("_group").alias("_begins"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    met = rows.join(groups, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_group") == F.col("_begins")))
+    rank = F.row_number().over(Window.partitionBy("user_id", "_group").orderBy("_key", "_seq"))
+    return met.select("user_id", (F.col("_before") + rank).cast("int").alias("place"), *_shown(registry))
