@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ from ..functions import locale, text
 from ..operators import mutate, registry
 from ..sources import files, office
 from ..streaming import chat
+from . import plugins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 USER = "src0"
+COPIES = 10**12  # numbers of requests for copies begin here
+ENDINGS = ("csv", "XLSX", "pdf", "Docx", "pptx", "txt", "csv.bak")
 LOCALE_INPUTS = ("", "  ", "fr-FR", "ZH_tw", "zh", "FR", "zh-Hant-TW", "en-GB", "pt-BR", "*", "de_DE", "ja")
 ENV_TEXT = "# c\n\nexport A=1\nB = 'two words'\nC=\"x\"\nA=again\nnokey\n=empty\nD=\"\nMODELS= a, b,,a ,c\r\nURL=https://example.org/x"
 
@@ -93,6 +97,16 @@ def skills_upsert(spark, sf_dir):
     return mutate.upsert_many(skills(spark, sf_dir), _requests(spark, sf_dir)).select("id", "user_id", "name", "description", "is_active", "seq")
 
 
+def skills_upsert_all(spark, sf_dir):
+    """Every document asks, for its own user, for the skill of its name in other case; every labelled one for a copy too."""
+    held = skills(spark, sf_dir)
+    again = held.select(F.col("seq").alias("req_seq"), F.concat(F.lit("new-"), "id").alias("new_id"), "user_id", F.concat(F.lit(" "), _upper("name"), F.lit(" ")).alias("name"), F.lit(" d ").alias("description"), F.lit("").alias("content"))
+    labelled = held.join(table(spark, sf_dir, "labels").select("doc_id"), F.col("seq") == F.col("doc_id"))
+    copies = labelled.select((F.col("seq") + COPIES).alias("req_seq"), F.concat(F.lit("copy-"), "id").alias("new_id"), "user_id", F.concat(F.lit("Copy "), "id").alias("name"), F.lit("").alias("description"), F.lit(" c ").alias("content"))
+    made = mutate.upsert_many(held, again.unionByName(copies))
+    return made.select("id", "user_id", "name", "description", F.md5("content").alias("content_md5"), "is_active", "seq")
+
+
 def skills_update(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     asked = skills(spark, sf_dir).join(labels, F.col("seq") == F.col("doc_id")).select("user_id", "id", F.lit("  labelled ").alias("description"), F.lit(" ").alias("content"), F.when(F.col("toxic") == 1, False).alias("is_active"))
@@ -141,14 +155,19 @@ def pipe_models(spark, sf_dir):
     return chat.per_model(chat.Pipe().pipes(spark), tests)
 
 
-def conversation_stream(spark, sf_dir):
-    """The action hook over a stream of all conversation rows, as Parquet files in the shared folder."""
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def conversation_stream(spark, sf_dir):
+    """The action hook over a stream of all conversation rows, as Parquet files in the shared folder."""
+    at = _shared(spark, "stream")
     hook = lambda rows: rows.select("conv_id", "turn", chat.action_result(F.col("text")).alias("result"))
     chat.stream(spark, f"{sf_dir}/conversations.parquet", hook, f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")
@@ -270,11 +289,70 @@ def skills_requested(spark, sf_dir):
     return at.state.where(F.col("user_id") == USER).select("id", "name", "description", F.md5("content").alias("content_md5"), "is_active")
 
 
+def skills_events(spark, sf_dir):
+    """The status events of single requests, by step: listings in two languages, a skill shown, one to delete that isn't
+    there, a registry that isn't there, and a listing whose user wants no events."""
+    state = skills(spark, sf_dir)
+
+    def asks(of=state, language=locale.DEFAULT, **kw):
+        return mutate.Registry(of, mutate.User(USER, language=language), mutate.Valves(**kw), emit=lambda e: None)
+
+    outcomes = (
+        asks().list(),
+        asks(language="de-DE").list(),
+        asks().show(skill_id="40"),
+        asks().delete(name="no such skill"),
+        asks(None).list(),
+        asks(show_status=False).list(),
+    )
+    events = [(step, n, e["data"]["description"], e["data"]["done"]) for step, out in enumerate(outcomes) for n, e in enumerate(out.events)]
+    return spark.createDataFrame(events, "step int, n int, description string, done boolean")
+
+
+def csv_uploads(spark, sf_dir):
+    """The customers as an uploaded CSV file, read back."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    at = _shared(spark, "csv")
+    rows.write.option("header", True).csv(at)
+    return files.csv_uploads(spark, at, rows.schema)
+
+
+def file_formats(spark, sf_dir):
+    """The format that an upload's name tells, for a name made from each part."""
+    ending = F.get(F.array(*[F.lit(e) for e in ENDINGS]), F.pmod("p_partkey", F.lit(len(ENDINGS))).cast("int"))
+    path = F.concat(F.lit("/up.csv/"), "p_name", F.lit("."), ending)
+    return table(spark, sf_dir, "part").select("p_partkey", text.basename(path).alias("file"), files.file_format(path).alias("format"))
+
+
+def plugin_manifests(spark, sf_dir):
+    """The manifest of a plugin file made from each nation: lines with a colon in its first docstring alone."""
+    source = F.concat(F.lit('"""\ntitle: '), "n_name", F.lit("\n  version : 1."), "n_nationkey", F.lit('\nno pair\nlink: a:b\n"""\nx: int = 1\n'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(files.manifest(source)).alias("m")).select("n_nationkey", "m.key", "m.value")
+
+
+@dataclass(frozen=True)
+class _Marks:
+    before: str = "<"
+    after: str = ">"
+
+
+def plugin_chain(spark, sf_dir):
+    """Two filters over the customers in the order of their names, with a setting of the user's, and then a tool that
+    knows who asks."""
+    held = plugins.Plugins()
+    held.register(plugins.Extension("filter", "b_mark", lambda d, c: d.withColumn("label", F.concat(F.lit(c.settings.before), "label", F.lit(c.settings.after))), _Marks()))
+    held.register(plugins.Extension("filter", "a_upper", lambda d, c: d.withColumn("label", _upper("label")), _Marks()))
+    held.register(plugins.Extension("tool", "ask", lambda d, c: d.withColumn("asker", F.lit(c.user["id"]))))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("label"))
+    return held.run("tool", "ask", held.chain("filter", rows, after="!"), user={"id": USER})
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     skills_list, skills_registry, skills_ranked, skills_counts_by_user, skills_show, skills_first_match, skills_name_collisions, skills_rename_conflicts,
-    skills_upsert, skills_update, skills_delete, documents_text, action_preview, tool_processed, last_assistant_message, conversation_hooks, transcripts,
+    skills_upsert, skills_upsert_all, skills_update, skills_delete, documents_text, action_preview, tool_processed, last_assistant_message, conversation_hooks, transcripts,
     conversation_pipe, pipe_models, conversation_stream, resolved_locales, messages_by_user, catalogue_lookup, env_file, model_ids, skill_front_matter,
     office_texts, office_cells, office_sheet, office_members, office_unreadable, text_functions, skills_requested,
+    skills_events, csv_uploads, file_formats, plugin_manifests, plugin_chain,
 )}
 
 
@@ -306,6 +384,18 @@ FROM skills s LEFT JOIN first f ON s.user_id = '{USER}' AND s.seq = f.seq LEFT J
 UNION ALL
 SELECT r.new_id, '{USER}', r.name, r.description, false, (SELECT max(seq) FROM skills) + 1 + r.req_seq FROM last r WHERE r.k NOT IN (SELECT k FROM first)"""
 
+_UPSERT_ALL = f"""WITH skills AS ({_SKILLS}), req AS (
+  SELECT seq AS req_seq, concat('new-', id) AS new_id, user_id, trim({_sql_upper('name')}, {_characters(text.WS_PY)}) AS name, 'd' AS description, 'd' AS content FROM skills
+  UNION ALL SELECT s.seq + {COPIES}, concat('copy-', s.id), s.user_id, concat('Copy ', s.id), concat('Copy ', s.id), 'c' FROM skills s JOIN labels l ON l.doc_id = s.seq),
+last AS (SELECT *, lower(name) AS k FROM req WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY user_id, lower(name) ORDER BY req_seq DESC) = 1),
+first AS (SELECT user_id, lower(name) AS k, min(seq) AS seq FROM skills GROUP BY 1, 2)
+SELECT s.id, s.user_id, coalesce(r.name, s.name) AS name, coalesce(r.description, s.description) AS description,
+  md5(coalesce(r.content, s.content)) AS content_md5, CASE WHEN r.k IS NULL THEN s.is_active ELSE false END AS is_active, s.seq
+FROM skills s LEFT JOIN first f ON s.user_id = f.user_id AND s.seq = f.seq LEFT JOIN last r ON f.user_id = r.user_id AND f.k = r.k
+UNION ALL
+SELECT r.new_id, r.user_id, r.name, r.description, md5(r.content), false, (SELECT max(seq) FROM skills) + 1 + r.req_seq
+FROM last r WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.user_id = r.user_id AND f.k = r.k)"""
+
 _LOCALES = " ".join(f"WHEN lower(n) = '{v.lower()}' THEN '{v}'" for v in locale.LOCALES)
 _BASES = " ".join(f"WHEN lower(split_part(n, '-', 1)) = '{k.lower()}' THEN '{v}'" for k, v in locale.FALLBACKS.items())
 
@@ -319,6 +409,7 @@ ORACLE_SQL: dict[str, str] = {
     "skills_name_collisions": _with_skills("SELECT id, user_id, lower(name) AS name_key, count(*) OVER (PARTITION BY user_id, lower(name)) AS holders FROM skills QUALIFY holders > 1"),
     "skills_rename_conflicts": _with_skills(f"SELECT user_id, id, {_sql_upper('name')} AS new_name FROM skills a WHERE name <> '' AND EXISTS (SELECT 1 FROM skills b WHERE b.user_id = a.user_id AND lower(b.name) = lower(trim({_sql_upper('a.name')}, {_characters(text.WS_PY)})) AND b.id <> a.id)"),
     "skills_upsert": _UPSERT,
+    "skills_upsert_all": _UPSERT_ALL,
     "skills_update": _with_skills("SELECT s.id, s.user_id, s.name, CASE WHEN l.doc_id IS NULL THEN s.description ELSE 'labelled' END AS description, s.content, CASE WHEN l.toxic = 1 THEN false ELSE s.is_active END AS is_active, s.seq FROM skills s LEFT JOIN labels l ON s.seq = l.doc_id"),
     "skills_delete": _with_skills("SELECT id, user_id, name, is_active, seq FROM skills WHERE seq NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "documents_text": f"SELECT doc_id, md5(lower(text)) AS lower_md5, length(trim(text, {_characters(text.WS_PY)})) AS py_chars, length(trim(text, {_characters(text.WS_JS)})) AS js_chars, length(trim(text, {_characters(text.WS_PY)})) > 0 AS filled FROM documents",
@@ -349,5 +440,19 @@ UNION ALL SELECT 'c.xlsx', unnest(['xl/sharedStrings.xml', 'xl/worksheets/sheet1
   CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 3 = 0 THEN 'unknown' ELSE CAST(n_nationkey AS VARCHAR) END AS shown FROM nation""",
     "skills_requested": _with_skills(f"""SELECT id, name, description, md5(content) AS content_md5, is_active FROM skills WHERE user_id = '{USER}' AND id <> '40'
 UNION ALL SELECT 'new-1', 'FRESH ONE', 'again', md5('again'), true UNION ALL SELECT 'new-2', 'Third', 'Second', md5('more'), false"""),
+    "skills_events": _with_skills(f"""SELECT CAST(step AS INTEGER) AS step, CAST(n AS INTEGER) AS n, description, n = 1 OR step = 4 AS done FROM (
+  SELECT 0 AS step, 0 AS n, 'Reading the list of skills' AS description
+  UNION ALL SELECT 0, 1, concat(count(*), ' skills, ', count(*) FILTER (WHERE is_active), ' of them active') FROM skills WHERE user_id = '{USER}'
+  UNION ALL SELECT 1, 0, 'Liste der Skills wird gelesen'
+  UNION ALL SELECT 1, 1, concat(count(*), ' Skills, davon ', count(*) FILTER (WHERE is_active), ' aktiv') FROM skills WHERE user_id = '{USER}'
+  UNION ALL SELECT 2, 0, 'Reading the skill'
+  UNION ALL SELECT 2, 1, coalesce(max(concat('Read ', CASE WHEN name = '' THEN id ELSE name END)), 'No such skill') FROM skills WHERE user_id = '{USER}' AND id = '40'
+  UNION ALL SELECT * FROM (VALUES (3, 0, 'Removing the skill'), (3, 1, 'No such skill'), (4, 0, 'The skill registry can''t be reached')) v)"""),
+    "csv_uploads": "SELECT c_custkey, c_name, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer",
+    "file_formats": f"""SELECT p_partkey, concat(p_name, '.', e) AS file, CASE WHEN lower(e) IN ('csv', 'xlsx', 'pdf', 'docx', 'pptx') THEN lower(e) END AS format
+FROM (SELECT p_partkey, p_name, [{', '.join(f"'{e}'" for e in ENDINGS)}][p_partkey % {len(ENDINGS)} + 1] AS e FROM part)""",
+    "plugin_manifests": """SELECT n_nationkey, 'title' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'version', concat('1.', n_nationkey) FROM nation
+UNION ALL SELECT n_nationkey, 'link', 'a:b' FROM nation""",
+    "plugin_chain": f"SELECT c_custkey, concat('<', {_sql_upper('c_name')}, '!') AS label, '{USER}' AS asker FROM customer",
     "skill_front_matter": _with_skills("SELECT id, id AS name, description, md5(content) AS body_md5 FROM skills"),
 }
