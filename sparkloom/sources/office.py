@@ -3,7 +3,7 @@
 The functions take an archive apart, member by member and element by element, with the standard library; what
 the names of members and the references of cells mean is told by built-in functions afterwards.  The size of
 members is capped by ``MAX_MEMBER`` so that a crafted archive can't fill a worker, and documents with a DOCTYPE
-are refused, which rules out entity expansion.
+are refused, wherever before the root it is and in any encoding, which rules out entity expansion.
 
 A file that can't be read gives one row with ``error`` alone.  By default that fails the query;
 with ``permissive`` such files have no rows, and ``unreadable`` lists them.
@@ -11,11 +11,13 @@ with ``permissive`` such files have no rows, and ``unreadable`` lists them.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +29,41 @@ MAX_MEMBER = 256 << 20
 BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError, EOFError)
 
 
+class _Prolog:
+    """Reads a member up to its root, the only place for a DOCTYPE, and refuses that."""
+
+    def __init__(self, member: str):
+        self.member, self.open, self.parser = member, True, expat.ParserCreate()
+        self.parser.StartDoctypeDeclHandler, self.parser.StartElementHandler = self._refuse, self._root
+
+    def _refuse(self, *declared) -> None:
+        raise ValueError(f"{self.member} declares a document type")
+
+    def _root(self, *started) -> None:
+        self.open = False
+
+    def feed(self, data: bytes) -> None:
+        if self.open:
+            with contextlib.suppress(expat.ExpatError):  # the parser of the elements says it
+                self.parser.Parse(data, not data)
+
+
 def _elements(z: zipfile.ZipFile, member: str, *wanted: str) -> Iterator[tuple[str, ElementTree.Element]]:
-    """(local name, element) of a member's wanted elements as each ends."""
+    """(local name, element) of a member's wanted elements as each ends.  Parsers may hold back what a long token
+    is part of until the end, so events are read once more after it."""
     if z.getinfo(member).file_size > MAX_MEMBER:
         raise ValueError(f"{member} is larger than {MAX_MEMBER} bytes")
     with z.open(member) as f:
-        head = f.read(4096)
-        if b"<!DOCTYPE" in head:
-            raise ValueError(f"{member} declares a document type")
-        parser = ElementTree.XMLPullParser(["end"])
-        data = head
+        parser, prolog = ElementTree.XMLPullParser(["end"]), _Prolog(member)
+        data = b" "
         while data:
-            parser.feed(data)
+            data = f.read(1 << 16)
+            prolog.feed(data)
+            parser.feed(data) if data else parser.close()
             for _, e in parser.read_events():
                 local = e.tag.rpartition("}")[2]
                 if local in wanted:
                     yield local, e
-            data = f.read(1 << 16)
-        parser.close()
 
 
 def _child(e: ElementTree.Element, local: str) -> str | None:
@@ -131,9 +150,12 @@ class PdfPages:
             import pymupdf
         except ImportError as e:
             raise RuntimeError("reading PDF needs the package pymupdf, which isn't installed") from e
-        with pymupdf.open(stream=content, filetype="pdf") as doc:
-            for i, page in enumerate(doc):
-                yield i + 1, page.get_text(), None
+        try:
+            with pymupdf.open(stream=content or b"", filetype="pdf") as doc:
+                pages = [(i + 1, page.get_text(), None) for i, page in enumerate(doc)]
+        except (RuntimeError, ValueError) as e:  # what the package raises for broken files
+            pages = [(None, None, f"{type(e).__name__}: {e}")]
+        yield from pages
 
 
 FUNCTIONS = {"zip_members": ZipMembers, "xlsx_cells": XlsxCells, "docx_texts": DocxTexts, "pptx_texts": PptxTexts, "pdf_pages": PdfPages}
@@ -211,7 +233,7 @@ def pptx_text(files: DataFrame, numeric: bool = False, permissive: bool = False)
     return joined(slides.select("path", place.alias("ord"), F.concat(F.lit("Slide "), number, F.lit(": "), "text").alias("line")), "\n", "line")
 
 
-def pdf_text(files: DataFrame) -> DataFrame:
+def pdf_text(files: DataFrame, permissive: bool = False) -> DataFrame:
     """path, text and page_count."""
-    pages = _rows(files, "pdf_pages", False).withColumnRenamed("page", "ord")
+    pages = _rows(files, "pdf_pages", permissive).withColumnRenamed("page", "ord")
     return joined(pages, "\n").join(pages.groupBy("path").agg(F.count("*").alias("page_count")), "path")

@@ -1,7 +1,10 @@
 """Text, locale, file, chat and plugin rules."""
 
+import contextlib
 import io
 import re
+import sys
+import types
 import zipfile
 from dataclasses import dataclass
 
@@ -178,3 +181,39 @@ def test_office_broken_files(spark):
     assert sorted(r.path for r in office.unreadable(files_, "xlsx_cells").collect()) == ["cut", "none", "xml"]
     with pytest.raises(PySparkException, match="BadZipFile|ParseError"):
         office.cells(files_).collect()
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16"])
+def test_office_late_doctype(spark, encoding):
+    late = f'<?xml version="1.0" encoding="{encoding}"?><!--{"x" * 200_000}--><!DOCTYPE d [<!ENTITY e "boom">]><d><t>&e;</t></d>'
+    file = as_files(spark, d=archive({"word/document.xml": late.encode(encoding)}))
+    assert office.docx_text(file, permissive=True).collect() == []
+    assert "document type" in office.unreadable(file, "docx_texts").first().error
+
+
+@pytest.mark.parametrize("size", [10, 4_080, 65_500, 200_000])
+def test_office_long_tokens(spark, size):
+    text_after = f'<d><t>a</t><!--{"x" * size}--><t b="{"y" * size}">b</t></d>'
+    assert office.docx_text(as_files(spark, d=archive({"word/document.xml": text_after}))).first().text == "a b"
+
+
+def test_pdf(spark, monkeypatch):
+    """The function of pages with a stand-in for the package, and what is made from its rows."""
+
+    class Page:
+        def __init__(self, text):
+            self.get_text = lambda: text
+
+    @contextlib.contextmanager
+    def opened(stream, filetype):
+        if not stream.startswith(b"%PDF"):
+            raise RuntimeError("no PDF")
+        yield [Page(x) for x in stream.decode().split("|")[1:]]
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=opened))
+    read = office.PdfPages.func().eval
+    assert list(read(b"%PDF|a|b")) == [(1, "a", None), (2, "b", None)] and list(read(b"%PDF")) == []
+    assert list(read(b"")) == list(read(None)) == [(None, None, "RuntimeError: no PDF")]
+    pages = spark.createDataFrame([("p", 2, "b"), ("p", 1, "a"), ("q", 1, "c")], "path string, page int, text string")
+    monkeypatch.setattr(office, "_rows", lambda files, function, permissive: pages)
+    assert {tuple(r) for r in office.pdf_text(pages).collect()} == {("p", "a\nb", 2), ("q", "c", 1)}
