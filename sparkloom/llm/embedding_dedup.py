@@ -328,6 +328,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     fetched = work.write(_vectors(vectors, promising.select("id").distinct().join(classes, "id")), "vectors")
     found = by_group(promising.join(fetched, "id")).mapInArrow(lambda b: _groups(b, lambda x, keys: _compared(x, keys, bits, tables, width, threshold)), "id long, links long, other long")
     found = work.write(found, "found")
+    work.keep(rows, classes, found)
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), work)

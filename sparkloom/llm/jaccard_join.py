@@ -376,6 +376,7 @@ def similar_classes(docs: DataFrame, threshold: int, shingle: int, small: int, b
     live = shared.where("info > 0").join(alive.withColumnRenamed("_info", "info"), ["class", "info"], "left_semi").unionByName(shared.where("info < 0"))
     found = by_key(live).mapInArrow(batches.framed(functools.partial(bucket_pairs, small=small)), "a long, b long, info int, large boolean")
     found = work.write(found, "found")
+    work.drop(shared)
     met = found.where("not large").groupBy("a", "b", F.floor(F.col("info") / NEED).alias("band")).agg(F.count("*").alias("lanes"), F.max("info").alias("info"))
     pairs = _sides(met.where(enough).select("a", "b").distinct(), classes.select("class", "id", "n", "bits"), "class")
     facts = classes.select("id", "n", "bits")
@@ -505,6 +506,7 @@ def _found(docs: DataFrame, threshold: int, shingle: int, small: int, block_sets
     """(measured rows, lookup): component, named by one of its classes, and least_id of each class."""
     measured, own = similar_classes(docs, threshold, shingle, small, block_sets, work)
     own = work.write(own, "named")
+    work.keep(measured, own)
     least = own.groupBy("component").agg(F.min("first_id").alias("least_id"))
     return measured, own.join(least, "component").select("class", "check", "component", "least_id")
 

@@ -205,6 +205,7 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS) -> Dat
     starts = rest.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("link_key", "doc_id", "copy")) - 1
     rest = work.write(rest.join(starts, "bucket").withColumn("rank", rank.cast("long")).drop("start", "bucket"), "rest")
+    work.keep(ranked, rest)
     pairs = rest.where("members is not null")
     at_ends = pairs.where(~large & F.col("rank").isin(_order(taken, quota)[1])).select("link_key").distinct()
     spans = pairs.join(F.broadcast(at_ends), "link_key").groupBy("link_key").agg(F.min("rank").alias("first"), F.count("*").alias("n")).collect()  # n_shards rows

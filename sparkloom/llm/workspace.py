@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Workspace:
-    """A folder of intermediate tables, removed when the Python process ends."""
+    """A folder of intermediate tables.  Operators remove those that their result doesn't read; the rest goes when the
+    Python process ends, as results are lazy."""
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -27,6 +28,7 @@ class Workspace:
             base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
             spark.sparkContext.setCheckpointDir(base)
         self.spark, self.root, self.made = spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
         atexit.register(self._clear)
 
     def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -34,6 +36,7 @@ class Workspace:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
         df.write.option("compression", codec).parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -41,8 +44,16 @@ class Workspace:
     def drop(self, table: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
         path = getattr(table, "_workspace_path", None)
-        if path:
+        if path in self.paths:
             self._delete(path)
+            self.paths.discard(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, once everything that reads the others is written."""
+        kept = {getattr(t, "_workspace_path", None) for t in tables}
+        for path in self.paths - kept:
+            self._delete(path)
+        self.paths &= kept
 
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
