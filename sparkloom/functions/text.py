@@ -37,6 +37,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def lower_simple(c: Column) -> Column:
+    """Lower case by single characters, as DuckDB has it; ``lower`` makes two of İ and looks at what is around a Σ."""
+    return F.lower(F.translate(c, "İΣ", "iσ"))
+
+
 def first_tag(c: Column) -> Column:
     """Before the first comma and the first semicolon: the first tag of an Accept-Language header."""
     return F.split_part(F.split_part(c, F.lit(","), F.lit(1)), F.lit(";"), F.lit(1))

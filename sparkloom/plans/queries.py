@@ -37,17 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and labels as a registry: a skill a document, its source as the user."""
+    """documents and labels as a registry: a skill a document, its source as the user.
+
+    Names are cut before the join, so that only queries that show content send whole texts through it."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id", "left").select(
+    cut = docs.select(
+        "doc_id",
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("user_id"),
         F.btrim(F.substring("text", 1, 24), F.lit(" ")).alias("name"),
-        F.concat("lang", F.lit(" "), "source").alias("description"),
+        F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit(""))).alias("description"),
         F.col("text").alias("content"),
-        (F.coalesce("quality", F.lit(0)) == 1).alias("is_active"),
         F.col("doc_id").alias("seq"),
     )
+    active = (F.coalesce("quality", F.lit(0)) == 1).alias("is_active")
+    return cut.join(labels, "doc_id", "left").select("id", "user_id", "name", "description", "content", active, "seq")
 
 
 def skills_registry(spark, sf_dir):
@@ -94,7 +98,7 @@ def _requests(spark, sf_dir):
 
 
 def skills_upsert(spark, sf_dir):
-    return mutate.upsert_many(skills(spark, sf_dir), _requests(spark, sf_dir)).select("id", "user_id", "name", "description", "is_active", "seq")
+    return mutate.upsert_many(skills(spark, sf_dir), _requests(spark, sf_dir), as_sql=True).select("id", "user_id", "name", "description", "is_active", "seq")
 
 
 def skills_upsert_all(spark, sf_dir):

@@ -48,3 +48,30 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(
+    ("text", "source", "lang"),
+    [("A line of twenty-three..\nx", "src0", "en"), ("A line of twenty-two.!!\nx", "src0", "en"), ("\tTab", "src1", "en"), ("", "src0", "en"), ("  ", "src1", "en"), (" ", "src1", "en"),
+     ("ΟΔΟΣ", "src1", "en"), ("İ", "src1", "en"), (None, "src0", "en"), (None, "src1", "en"), ("Name", "src1", None), ("Name", None, "en")],
+)
+def test_upsert_of_odd_names_matches_sql(spark, sf, tmp_path, text, source, lang):
+    rows = [(i, f"Text {i}", "en", "src0") for i in range(20)] + [(20, text, lang, source), (21, "οδοσ", "en", "src0"), (22, "i", "en", "src0"), (40, "text 3", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for t in ("labels", "nation"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got, want = QUERIES["skills_upsert"](spark, str(tmp_path)).collect(), con.execute(ORACLE_SQL["skills_upsert"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_short_columns_join_without_texts(spark, sf):
+    """What the registry's queries cut out of texts is cut before labels are joined."""
+    nodes, joins = [QUERIES["skills_upsert"](spark, sf)._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        joins += [node.output().mkString(" ")] if node.nodeName() == "Join" else []
+    assert joins and not [x for x in joins if "text#" in x or "content#" in x]

@@ -164,3 +164,15 @@ def test_random_programs(spark):
         rows = out.state.orderBy("seq").collect()
         assert [(r.id, r.name, r.is_active) for r in rows] == [(s["id"], s["name"], s["active"]) for s in model]
         state = spark.createDataFrame(rows, registry.SCHEMA)
+
+
+def test_upsert_as_sql(spark):
+    """Only spaces are stripped, blank names count, case goes by characters; a null name meets nothing and stops additions."""
+    own = [("1", "u", "line\n", 1), ("2", "u", "", 2), ("3", "u", "οδοσ", 3), ("4", "v", None, 4), ("5", "w", "w", 5)]
+    state = spark.createDataFrame([(i, u, n, "d", "c", True, 0, None, seq) for i, u, n, seq in own], registry.SCHEMA)
+    names = [("u", " LINE\n "), ("u", " "), ("u", "ΟΔΟΣ"), ("u", "LINE"), ("u", None), ("v", "x"), ("v", None), ("new", None)]
+    req = spark.createDataFrame([(k, f"n{k}", u, n, " a ", "") for k, (u, n) in enumerate(names)], "req_seq long, new_id string, user_id string, name string, description string, content string")
+    by = {r.id: (r.name, r.description, r.is_active, r.seq) for r in upsert_many(state, req, as_sql=True).collect()}
+    old = {"1": ("LINE\n", "a", False, 1), "2": ("", "a", False, 2), "3": ("ΟΔΟΣ", "a", False, 3), "4": (None, "d", True, 4), "5": ("w", "d", True, 5)}
+    assert by == old | {"n3": ("LINE", "a", False, 9), "n7": (None, "a", False, 13)}
+    assert {r.seq for r in upsert_many(state.limit(0), req, as_sql=True).collect()} == {None}
